@@ -1,0 +1,30 @@
+"""Typed cells of the wide tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.norm import name_key, trim_blanks
+from ..runtime import bounded
+
+
+def converts(value: Column, kind: Column) -> Column:
+    """Whether a trimmed value has the form of its kind."""
+    day = r"\A([0-9]{4})([-/]?)([0-9]{2})\2([0-9]{2})\z"
+    real = value.rlike(day) & ~value.startswith("0000") & F.regexp_replace(value, day, "$1-$3-$4").try_cast("date").isNotNull()
+    return F.when(kind == "integer", value.rlike(r"\A[+-]?[0-9]+\z")).when(kind == "date", real).when(kind == "boolean", value.rlike(r"(?i)\A(TRUE|YES|ON|FALSE|NO|OFF)\z")).otherwise(True)
+
+
+def lost(pairs: DataFrame, defs: DataFrame) -> DataFrame:
+    """(rid, attr_name) of the cells with some non-blank value of which none converts."""
+    names = defs.select(F.lower("class_name").alias("class"), "attr_id", "attr_name", "value_kind", F.explode(F.concat(F.array("attr_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    names = names.select("class", name_key("n").alias("name"), "attr_name", "value_kind").distinct()
+    typed = names.where("value_kind != 'text'")
+    heads = names.where("lower(attr_name) = 'class-name'").select("class", "name")
+    wanted = bounded(typed.select("name").union(heads.select("name")).distinct())
+    said = pairs.select("rid", name_key("attr_name").alias("name"), trim_blanks("value").alias("v")).where("v != '' AND rid IS NOT NULL").join(wanted, "name")
+    classes = said.withColumn("class", F.lower("v")).join(bounded(heads), ["class", "name"], "leftsemi").select("rid", "class").distinct()
+    cells = said.join(classes, "rid").join(bounded(typed), ["class", "name"])
+    found = cells.groupBy("rid", "class", "attr_name").agg(F.max(converts(F.col("v"), F.col("value_kind"))).alias("ok"))
+    return found.where("NOT ok").select("rid", "attr_name").distinct()

@@ -1,0 +1,23 @@
+"""Records that differ in writing alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..runtime import bounded
+
+
+def copies(records: DataFrame, defs: DataFrame) -> DataFrame:
+    """(row_id_a, row_id_b): each copy beside the first of its copies.
+
+    Values are compared by letters, with their accents, and digits. A record without any
+    primary-key value is nobody's copy.
+    """
+    keys = defs.where("is_primary_key").groupBy("class_name").agg(F.collect_set("attr_id").alias("pk"))
+    own = F.filter("av", lambda x: F.array_contains("pk", x["attr_id"]) & x["value"].isNotNull())
+    bare = lambda v: F.regexp_replace(F.lower(v), r"[^\p{L}\p{M}\p{Nd}]", "")
+    key = F.array_sort(F.transform(own, lambda x: F.concat_ws(" ", x["attr_id"].cast("string"), bare(x["value"]))))
+    keyed = records.join(bounded(keys), "class_name").select("row_id", "class_name", F.array_join(key, "|").alias("key")).where("key != ''")
+    first = F.min("row_id").over(Window.partitionBy("class_name", "key"))
+    return keyed.select(first.alias("row_id_a"), F.col("row_id").alias("row_id_b")).where("row_id_a != row_id_b")

@@ -1,0 +1,34 @@
+"""Passages of held-out items in documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.norm import col
+from ..runtime import bounded
+
+RUN, BLOCK = 12, 6  # any 12 words in a row hold a whole block of 6 that begins at a multiple of 6
+
+
+def words(text: Column | str) -> Column:
+    """Lower-case words: longest runs of letters and digits."""
+    return F.filter(F.split(F.lower(F.regexp_replace(col(text), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+
+
+def _grams(w: Column, n: int, step: int = 1) -> Column:
+    last = F.size(w) - n
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id): the document holds 12 consecutive words of the item."""
+    held = items.select("item_id", words("text").alias("iw"))
+    blocks = held.select("item_id", F.explode(_grams(F.col("iw"), BLOCK)).alias("g")).distinct()
+    runs = held.select("item_id", F.explode(_grams(F.col("iw"), RUN)).alias("run")).distinct()
+    split = docs.select("doc_id", words("text").alias("w"))
+    at = split.select("doc_id", "w", F.posexplode(_grams(F.col("w"), BLOCK, BLOCK)).alias("k", "g"))
+    # the runs that may lie around a block: they begin up to 6 words before it
+    near = F.slice(F.col("w"), F.greatest(F.lit(1), F.col("k") * BLOCK + 1 - (RUN - BLOCK)), F.least(F.col("k") * BLOCK, F.lit(RUN - BLOCK)) + RUN)
+    around = at.join(bounded(blocks.select("g").distinct()), "g", "leftsemi").select("doc_id", F.explode(_grams(near, RUN)).alias("run"))
+    return around.join(bounded(runs), "run").select("doc_id", "item_id").distinct()

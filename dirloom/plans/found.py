@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cells import lost
+from ..operators.changes import live
+from ..operators.copies import copies
+from ..operators.passages import contained
+from ..operators.rows import rejected
 from ..operators.timestamps import normalise
+from ..operators.versions import changes
 from ..runtime import table
 
 
@@ -15,3 +21,33 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rows that are serials already still are evidence of nothing: they name no local time
     loose = records.where(~F.col("updated").rlike(r"\A[0-9]{17}\z"))
     return normalise(loose, table(spark, sf_dir, "auth_areas")).where("updated_utc IS NOT NULL").select("row_id", "updated_utc")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ``raw_rows`` that cannot be loaded, with the reason."""
+    return rejected(table(spark, sf_dir, "raw_rows"), table(spark, sf_dir, "auth_areas"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records live after all changes of ``spool``."""
+    return live(table(spark, sf_dir, "spool"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the wide tables of ``av_pairs`` that are lost in typing."""
+    return lost(table(spark, sf_dir, "av_pairs"), table(spark, sf_dir, "attr_defs"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each copy in ``records`` with the smallest row_id among its copies."""
+    return copies(table(spark, sf_dir, "records"), table(spark, sf_dir, "attr_defs"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of attributes between the versions of each db_dir."""
+    return changes(table(spark, sf_dir, "class_files"), table(spark, sf_dir, "file_pairs"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain 12 consecutive words of an item."""
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
