@@ -22,7 +22,8 @@ from ..runtime import bounded
 
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 LONG_MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
-DAY_US, MIN_US = 86_400_000_000, 60_000_000
+DAY_US, QUARTER_US, MIN_US = 86_400_000_000, 900_000_000, 60_000_000
+FAR_MIN = 48 * 60
 #: Candidate histories for sources without a declared zone, besides those other sources declare.
 CANDIDATE_ZONES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Europe/Moscow", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Pacific/Auckland", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Sao_Paulo")
 
@@ -121,6 +122,11 @@ def _to_utc(local: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
 
 
+def _holds(local: Column, off: Column, zone: Column) -> Column:
+    """Whether a zone has that offset at that local time; on a doubled time both hold."""
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(local - off * MIN_US), zone)) == local
+
+
 def abbreviation_offsets(zones: list[str]) -> dict[tuple[str, str], int]:
     """Minutes east of UTC of each abbreviation that a zone itself has used since 1990."""
     found: dict[tuple[str, str], int] = {}
@@ -139,24 +145,25 @@ def abbreviation_offsets(zones: list[str]) -> dict[tuple[str, str], int]:
 def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5) -> DataFrame:
     """(source, zone, violations, evidence): the offset history with the fewest violations.
 
-    Evidence is pre-aggregated per source, local day, hour and stated offset before candidate
+    Evidence is pre-aggregated per source, local quarter hour and stated offset before candidate
     zones are laid over it, so a source holding a third of all rows costs no more than its
-    distinct days. A stamp with a stated offset violates a history that has another offset at
-    that local time; a zone-less stamp violates one that puts it after it was received.
+    distinct quarters; zones change their offset on quarters only. A stamp with a stated offset
+    violates a history that has another offset at that moment; a zone-less stamp violates one
+    that puts it after it was received.
     Stamps written in UTC say nothing about the writer and are no evidence. A declared zone is
     the only candidate of its source. A source whose best history is violated by more than
     half of its evidence is read as UTC.
     """
-    # hours between the local time and receipt, cut to what can matter; keys are few a day
+    # minutes between the local time and receipt, cut to what can matter
     local, off = F.col("_stamp.local"), F.col("_stamp.off")
-    margin = F.floor((F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")) - local) / 3.6e9)
-    said = parsed.select(source, F.floor(local / F.lit(float(DAY_US))).cast("bigint").alias("day"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull(), F.greatest(F.lit(-48), F.least(F.lit(48), margin))).cast("int").alias("margin"))
-    seen = said.groupBy(source, "day", "off", "abbr", "margin").agg(F.count("*").alias("n")).where("day IS NOT NULL AND abbr IS NULL AND (off != 0 OR (off IS NULL AND margin < 24))")
+    margin = F.floor((F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")) - local) / F.lit(float(MIN_US)))
+    said = parsed.select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull(), F.greatest(F.lit(-FAR_MIN), F.least(F.lit(FAR_MIN), margin))).cast("int").alias("margin"))
+    seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND abbr IS NULL AND (off != 0 OR (off IS NULL AND margin < {FAR_MIN // 2}))")
     near = seen.join(bounded(sources.select(source, "tz_name")), source, "left")
     laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.array(*map(F.lit, candidates)))))
-    noon = F.col("day") * DAY_US + DAY_US // 2
-    has = ((noon - _to_utc(noon, F.col("zone"))) / MIN_US).cast("bigint")
-    wrong = F.when(F.col("off").isNotNull(), F.col("off") != has).otherwise(F.col("margin") * 60 + has < -slack_minutes)
+    start = F.col("quarter") * QUARTER_US
+    has = ((start - _to_utc(start, F.col("zone"))) / MIN_US).cast("bigint")
+    wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).otherwise(F.col("margin") + has < -slack_minutes)
     scored = laid.groupBy(source, "zone").agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
     rank = {z: i for i, z in enumerate(candidates)}
     order = F.coalesce(F.create_map(*chain.from_iterable((F.lit(z), F.lit(i)) for z, i in rank.items()))[F.col("zone")], F.lit(-1))
