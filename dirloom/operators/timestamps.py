@@ -9,12 +9,12 @@ were received) and the zone with the fewest violations wins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 from itertools import chain
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.norm import trim_blanks
@@ -65,7 +65,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _stamp(t: Column, order: Column) -> Column:
-    """Struct (utc, local, off, abbr) of one upper-cased text."""
+    """Struct (utc, local, off, abbr, named) of one upper-cased text; named: its zone is Z, UTC or GMT."""
     n = F.length(t)
     shaped = None
     for pattern, to in _SHAPES.values():
@@ -91,7 +91,7 @@ def _stamp(t: Column, order: Column) -> Column:
 
     def timed(p: Column, q: Column) -> Column:
         zone = F.regexp_replace(q[5], r"^(?:UTC|GMT)(?=[+-])", "")
-        return _let(zone, lambda z: F.struct(local(p, q).alias("local"), east(z).alias("off"), F.when(z.rlike(r"^[A-Z]{2,5}$") & ~z.isin("UTC", "GMT", "UT"), z).alias("abbr")))
+        return _let(zone, lambda z: F.struct(local(p, q).alias("local"), east(z).alias("off"), F.when(z.rlike(r"^[A-Z]{2,5}$") & ~z.isin("UTC", "GMT", "UT"), z).alias("abbr"), z.isin("Z", "UTC", "GMT", "UT").alias("named")))
 
     def clocked(p: Column) -> Column:
         def of(rest: Column) -> Column:
@@ -101,7 +101,7 @@ def _stamp(t: Column, order: Column) -> Column:
         return _let(F.trim(p[3]), of)
 
     at = F.when(shaped.isNotNull(), _let(F.split(shaped, r"\|", -1), clocked))
-    return _let(at, lambda s: F.struct(F.coalesce(count, fraction).alias("utc"), s["local"].alias("local"), s["off"].alias("off"), s["abbr"].alias("abbr")))
+    return _let(at, lambda s: F.struct(F.coalesce(count, fraction).alias("utc"), s["local"].alias("local"), s["off"].alias("off"), s["abbr"].alias("abbr"), s["named"].alias("named")))
 
 
 def parse(df: DataFrame, stamp: str = "updated", order: str = "date_order") -> DataFrame:
@@ -127,22 +127,45 @@ def _holds(local: Column, off: Column, zone: Column) -> Column:
     return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(local - off * MIN_US), zone)) == local
 
 
+def _used_since_1990(name: str) -> Iterator[tuple[str, str, int]]:
+    """(zone, abbreviation, minutes east of UTC) month by month; nothing for a zone that does not exist."""
+    try:
+        zone = ZoneInfo(name)
+    except (ZoneInfoNotFoundError, ValueError):
+        return
+    for year in range(1990, 2038):
+        for month in range(1, 13):
+            at = datetime(year, month, 15, 12, tzinfo=UTC).astimezone(zone)
+            yield name, at.tzname().upper(), round(at.utcoffset().total_seconds() / 60)
+
+
 def abbreviation_offsets(zones: list[str]) -> dict[tuple[str, str], int]:
-    """Minutes east of UTC of each abbreviation that a zone itself has used since 1990."""
-    found: dict[tuple[str, str], int] = {}
-    for name in zones:
-        try:
-            zone = ZoneInfo(name)
-        except (ZoneInfoNotFoundError, ValueError):
-            continue
-        for year in range(1990, 2038):
-            for month in range(1, 13):
-                at = datetime(year, month, 15, 12, tzinfo=UTC).astimezone(zone)
-                found[name, at.tzname().upper()] = round(at.utcoffset().total_seconds() / 60)
-    return found
-
-
-def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5) -> DataFrame:
+    """Minutes east of UTC of each abbreviation that a zone itself has used since 1990; the last if there are several."""
+    return {(z, abbr): minutes for name in zones for z, abbr, minutes in _used_since_1990(name)}
+
+
+def abbreviations(spark: SparkSession, zones: Iterable[str]) -> DataFrame:
+    """(zone, used): for each zone that exists a map from abbreviation to its offsets, the last one first."""
+    used: dict[str, dict[str, list[int]]] = {}
+    for name in sorted({*zones}):
+        for z, abbr, minutes in _used_since_1990(name):
+            offsets = used.setdefault(z, {}).setdefault(abbr, [])
+            if minutes in offsets:
+                offsets.remove(minutes)
+            offsets.insert(0, minutes)
+    return spark.createDataFrame([*used.items()], "zone string, used map<string, array<bigint>>")
+
+
+def declared_zones(sources: DataFrame) -> list[str]:
+    return [r[0] for r in sources.where("tz_name IS NOT NULL").select("tz_name").distinct().collect()]
+
+
+def _abbreviated(local: Column, abbr: Column, zone: Column) -> Column:
+    """Offsets that ``abbr`` means in the zone (map ``used``) at that local time, the largest first; on a doubled time both."""
+    return F.sort_array(F.filter(F.coalesce(F.col("used")[abbr], F.array().cast("array<bigint>")), lambda o: _holds(local, o, zone)), asc=False)
+
+
+def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5, support: int = 5) -> DataFrame:
     """(source, zone, violations, evidence): the offset history with the fewest violations.
 
     Evidence is pre-aggregated per source, local quarter hour and stated offset before candidate
@@ -150,27 +173,29 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     distinct quarters; zones change their offset on quarters only. A stamp with a stated offset
     violates a history that has another offset at that moment; a zone-less stamp violates one
     that puts it after it was received.
-    Stamps written in UTC say nothing about the writer and are no evidence. A declared zone is
-    the only candidate of its source. A source whose best history is violated by more than
-    half of its evidence is read as UTC.
+    An abbreviation violates a history that does not use it at that time. Stamps marked Z, UTC or
+    GMT say nothing about the writer and are no evidence; a numeric +00:00 is. A declared zone is
+    the only candidate of its source. A source with less than ``support`` evidence, or whose best
+    history is violated by more than half of it, is read as UTC.
     """
     # minutes between the local time and receipt, cut to what can matter
     local, off = F.col("_stamp.local"), F.col("_stamp.off")
     margin = F.floor((F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")) - local) / F.lit(float(MIN_US)))
-    said = parsed.select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull(), F.greatest(F.lit(-FAR_MIN), F.least(F.lit(FAR_MIN), margin))).cast("int").alias("margin"))
-    seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND abbr IS NULL AND (off != 0 OR (off IS NULL AND margin < {FAR_MIN // 2}))")
+    said = parsed.where(~F.coalesce("_stamp.named", F.lit(False))).select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull() & F.col("_stamp.abbr").isNull(), F.greatest(F.lit(-FAR_MIN), F.least(F.lit(FAR_MIN), margin))).cast("int").alias("margin"))
+    seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND (off IS NOT NULL OR abbr IS NOT NULL OR margin < {FAR_MIN // 2})")
     near = seen.join(bounded(sources.select(source, "tz_name")), source, "left")
-    laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.array(*map(F.lit, candidates)))))
+    used = bounded(abbreviations(near.sparkSession, [*candidates, *declared_zones(sources)]))
+    laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.array(*map(F.lit, candidates))))).join(used, "zone", "left")
     start = F.col("quarter") * QUARTER_US
     has = ((start - _to_utc(start, F.col("zone"))) / MIN_US).cast("bigint")
-    wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).otherwise(F.col("margin") + has < -slack_minutes)
+    wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).when(F.col("abbr").isNotNull(), F.size(_abbreviated(start, F.col("abbr"), F.col("zone"))) == 0).otherwise(F.col("margin") + has < -slack_minutes)
     scored = laid.groupBy(source, "zone").agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
     rank = {z: i for i, z in enumerate(candidates)}
     order = F.coalesce(F.create_map(*chain.from_iterable((F.lit(z), F.lit(i)) for z, i in rank.items()))[F.col("zone")], F.lit(-1))
     best = scored.groupBy(source).agg(F.min(F.struct("violations", order.alias("o"), "zone", "evidence")).alias("b"))
     declared = sources.select(F.col(source).alias("_s"), "tz_name").where("tz_name IS NOT NULL")
     best = best.join(bounded(declared), best[source] == F.col("_s"), "left")
-    zone = F.when(F.col("tz_name").isNull() & (F.col("b.violations") * 2 > F.col("b.evidence")), "UTC").otherwise(F.col("b.zone"))
+    zone = F.when(F.col("tz_name").isNull() & ((F.col("b.violations") * 2 > F.col("b.evidence")) | (F.col("b.evidence") < support)), "UTC").otherwise(F.col("b.zone"))
     return best.select(source, zone.alias("zone"), F.col("b.violations").alias("violations"), F.col("b.evidence").alias("evidence"))
 
 

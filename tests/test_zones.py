@@ -39,3 +39,27 @@ def test_stamps_around_a_change_of_clocks_are_no_violations(spark):
     stamps = [((night + timedelta(minutes=15 * i)).astimezone(ZoneInfo("Europe/Berlin")).isoformat(), None) for i in range(40)]
     r = found(spark, stamps)
     assert (r.zone, r.violations, r.evidence) == ("Europe/Berlin", 0, 40)
+
+
+def test_numeric_zero_is_evidence_and_few_foreign_stamps_are_not(spark):
+    assert found(spark, stated("UTC", 25) + stated("Asia/Kolkata", 4)).zone == "UTC"
+    assert found(spark, stated("Asia/Kolkata", 4)).zone == "UTC"
+    assert found(spark, stated("UTC", 25, "%Y-%m-%dT%H:%M:%SZ") + stated("Asia/Kolkata", 6)).zone == "Asia/Kolkata"
+
+
+def test_abbreviations_are_evidence(spark):
+    stamps = [s for s in stated("America/Denver", 12, "%Y-%m-%d %H:%M:%S %Z")]
+    r = found(spark, stamps)
+    assert (r.zone, r.violations, r.evidence) == ("America/Denver", 0, 12)
+
+
+def test_every_area_without_its_zone(spark, sf):
+    records = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/records.parquet")
+    areas = spark.read.parquet(f"{sf}/auth_areas.parquet")
+    blind = areas.selectExpr("auth_area", "CAST(NULL AS STRING) AS tz_name", "date_order")
+    truth = {r.auth_area: r.tz_name for r in areas.collect()}
+    found = {r.auth_area: r.zone for r in estimate_zones(parse(records.join(areas, "auth_area")), blind).collect()}
+    wrong = [(a, z, found.get(a)) for a, z in truth.items() if found.get(a, "UTC") != z]
+    print("WRONG", len(wrong), len(truth), wrong)
+    assert not [x for x in wrong if x[1] == "UTC"]
+    assert len(wrong) <= 0.1 * len(truth)
