@@ -4,7 +4,7 @@ A stamp is parsed with JVM expressions into a local time or a moment. Stamps tha
 zone take the offset history of their source. The history is the source's declared zone;
 where none is declared it is estimated: every candidate zone is laid over the source's
 evidence (stamps that state their own offset, and zone-less stamps against the time they
-were received) and the zone with the fewest violations wins.
+were received) and the zone that fits best wins.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from ..runtime import bounded
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 LONG_MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 DAY_US, QUARTER_US, MIN_US = 86_400_000_000, 900_000_000, 60_000_000
-FAR_MIN = 48 * 60
+#: Zone-less stamps count if receipt is nearer than this to their local time: a day and the widest offset.
+NEAR_MIN = (24 + 14) * 60
 #: Candidate histories for sources without a declared zone, besides those other sources declare.
 CANDIDATE_ZONES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Europe/Moscow", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Pacific/Auckland", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Sao_Paulo")
 
@@ -166,13 +167,15 @@ def _abbreviated(local: Column, abbr: Column, zone: Column) -> Column:
 
 
 def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5, support: int = 5) -> DataFrame:
-    """(source, zone, violations, evidence): the offset history with the fewest violations.
+    """(source, zone, violations, evidence): the offset history that fits the evidence best.
 
     Evidence is pre-aggregated per source, local quarter hour and stated offset before candidate
     zones are laid over it, so a source holding a third of all rows costs no more than its
     distinct quarters; zones change their offset on quarters only. A stamp with a stated offset
     violates a history that has another offset at that moment; a zone-less stamp violates one
-    that puts it after it was received.
+    that puts it after it was received, and misfits one the more the longer before receipt it
+    puts it, by up to half a violation at a day or more: a zone west of the true one makes stamps
+    late, one east of it makes them early. Only zone-less stamps received within a day count.
     An abbreviation violates a history that does not use it at that time. Stamps marked Z, UTC or
     GMT say nothing about the writer and are no evidence; a numeric +00:00 is. A declared zone is
     the only candidate of its source. A source with less than ``support`` evidence, or whose best
@@ -181,18 +184,21 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     # minutes between the local time and receipt, cut to what can matter
     local, off = F.col("_stamp.local"), F.col("_stamp.off")
     margin = F.floor((F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")) - local) / F.lit(float(MIN_US)))
-    said = parsed.where(~F.coalesce("_stamp.named", F.lit(False))).select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull() & F.col("_stamp.abbr").isNull(), F.greatest(F.lit(-FAR_MIN), F.least(F.lit(FAR_MIN), margin))).cast("int").alias("margin"))
-    seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND (off IS NOT NULL OR abbr IS NOT NULL OR margin < {FAR_MIN // 2})")
+    said = parsed.where(~F.coalesce("_stamp.named", F.lit(False))).select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull() & F.col("_stamp.abbr").isNull(), F.greatest(F.lit(-NEAR_MIN - 1), F.least(F.lit(NEAR_MIN + 1), margin))).cast("int").alias("margin"))
+    seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND (off IS NOT NULL OR abbr IS NOT NULL OR margin BETWEEN -{NEAR_MIN} AND {NEAR_MIN})")
     near = seen.join(bounded(sources.select(source, "tz_name")), source, "left")
     used = bounded(abbreviations(near.sparkSession, [*candidates, *declared_zones(sources)]))
     laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.array(*map(F.lit, candidates))))).join(used, "zone", "left")
     start = F.col("quarter") * QUARTER_US
     has = ((start - _to_utc(start, F.col("zone"))) / MIN_US).cast("bigint")
     wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).when(F.col("abbr").isNotNull(), F.size(_abbreviated(start, F.col("abbr"), F.col("zone"))) == 0).otherwise(F.col("margin") + has < -slack_minutes)
-    scored = laid.groupBy(source, "zone").agg(F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
+    late = F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("margin") + has) / F.lit(DAY_US / MIN_US)) / 2
+    misfit = F.when(wrong, F.lit(1.0)).when(F.col("margin").isNotNull(), late).otherwise(0)
+    # thousandths, so that the sum is exact in any order
+    scored = laid.groupBy(source, "zone").agg(F.sum(F.round(misfit * 1000).cast("bigint") * F.col("n")).alias("misfit"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
     rank = {z: i for i, z in enumerate(candidates)}
     order = F.coalesce(F.create_map(*chain.from_iterable((F.lit(z), F.lit(i)) for z, i in rank.items()))[F.col("zone")], F.lit(-1))
-    best = scored.groupBy(source).agg(F.min(F.struct("violations", order.alias("o"), "zone", "evidence")).alias("b"))
+    best = scored.groupBy(source).agg(F.min(F.struct("misfit", order.alias("o"), "zone", "violations", "evidence")).alias("b"))
     declared = sources.select(F.col(source).alias("_s"), "tz_name").where("tz_name IS NOT NULL")
     best = best.join(bounded(declared), best[source] == F.col("_s"), "left")
     zone = F.when(F.col("tz_name").isNull() & ((F.col("b.violations") * 2 > F.col("b.evidence")) | (F.col("b.evidence") < support)), "UTC").otherwise(F.col("b.zone"))

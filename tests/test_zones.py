@@ -63,3 +63,17 @@ def test_every_area_without_its_zone(spark, sf):
     print("WRONG", len(wrong), len(truth), wrong)
     assert not [x for x in wrong if x[1] == "UTC"]
     assert len(wrong) <= 0.1 * len(truth)
+
+
+def test_zones_are_found_by_receipt_alone(spark):
+    zones = ["UTC", "Europe/London", "Europe/Berlin", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Sao_Paulo"]
+    stamps = [(z, *s) for z in zones for s in zoneless(z, [2, 180, 45, 11, 90, 7, 130])]
+    stamps += [("America/Denver", t, r - timedelta(hours=2)) for t, r in zoneless("America/Denver", [2], 5)]  # clocks that are wrong
+    df = spark.createDataFrame([(z, t, r.replace(tzinfo=None)) for z, t, r in stamps], "auth_area string, updated string, received_at timestamp_ntz")
+    areas = spark.createDataFrame([(z, None, "DMY") for z in zones], "auth_area string, tz_name string, date_order string")
+    got = {r.auth_area: r.zone for r in estimate_zones(parse(df.join(areas, "auth_area")), areas).collect()}
+    assert got == {z: z for z in zones}
+
+
+def test_receipt_weeks_later_is_no_evidence(spark):
+    assert found(spark, zoneless("America/New_York", [30_000, 90_000])) is None
