@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 from itertools import chain
-from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ LONG_MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "
 DAY_US, QUARTER_US, MIN_US = 86_400_000_000, 900_000_000, 60_000_000
 #: Zone-less stamps count if receipt is nearer than this to their local time: a day and the widest offset.
 NEAR_MIN = (24 + 14) * 60
-#: Candidate histories for sources without a declared zone, besides those other sources declare.
+#: Likely histories for sources without a declared zone, besides those other sources declare.
 CANDIDATE_ZONES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Europe/Moscow", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Pacific/Auckland", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Sao_Paulo")
 
 _SHAPES = {  # date shapes; each is rewritten to year|month|day|rest
@@ -161,6 +161,12 @@ def declared_zones(sources: DataFrame) -> list[str]:
     return [r[0] for r in sources.where("tz_name IS NOT NULL").select("tz_name").distinct().collect()]
 
 
+def known_zones(spark: SparkSession) -> list[str]:
+    """Names of places in the tz database that both Python and the JVM know."""
+    jvm = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return sorted(z for z in available_timezones() & jvm if "/" in z and not z.startswith(("Etc/", "SystemV/", "posix/", "right/")))
+
+
 def _abbreviated(local: Column, abbr: Column, zone: Column) -> Column:
     """Offsets that ``abbr`` means in the zone (map ``used``) at that local time, the largest first; on a doubled time both."""
     return F.sort_array(F.filter(F.coalesce(F.col("used")[abbr], F.array().cast("array<bigint>")), lambda o: _holds(local, o, zone)), asc=False)
@@ -176,6 +182,8 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     that puts it after it was received, and misfits one the more the longer before receipt it
     puts it, by up to half a violation at a day or more: a zone west of the true one makes stamps
     late, one east of it makes them early. Only zone-less stamps received within a day count.
+    Candidates are all zones; one that is neither in ``candidates`` nor declared by another source
+    must fit better by one violation and a twentieth of the evidence.
     An abbreviation violates a history that does not use it at that time. Stamps marked Z, UTC or
     GMT say nothing about the writer and are no evidence; a numeric +00:00 is. A declared zone is
     the only candidate of its source. A source with less than ``support`` evidence, or whose best
@@ -187,8 +195,11 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     said = parsed.where(~F.coalesce("_stamp.named", F.lit(False))).select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull() & F.col("_stamp.abbr").isNull(), F.greatest(F.lit(-NEAR_MIN - 1), F.least(F.lit(NEAR_MIN + 1), margin))).cast("int").alias("margin"))
     seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND (off IS NOT NULL OR abbr IS NOT NULL OR margin BETWEEN -{NEAR_MIN} AND {NEAR_MIN})")
     near = seen.join(bounded(sources.select(source, "tz_name")), source, "left")
-    used = bounded(abbreviations(near.sparkSession, [*candidates, *declared_zones(sources)]))
-    laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.array(*map(F.lit, candidates))))).join(used, "zone", "left")
+    spark = near.sparkSession
+    likely = list(dict.fromkeys([*candidates, *sorted(declared_zones(sources))]))
+    names = list(dict.fromkeys([*likely, *known_zones(spark)]))
+    used = bounded(abbreviations(spark, names))
+    laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.split(F.lit(",".join(names)), ",")))).join(used, "zone", "left")
     start = F.col("quarter") * QUARTER_US
     has = ((start - _to_utc(start, F.col("zone"))) / MIN_US).cast("bigint")
     wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).when(F.col("abbr").isNotNull(), F.size(_abbreviated(start, F.col("abbr"), F.col("zone"))) == 0).otherwise(F.col("margin") + has < -slack_minutes)
@@ -196,9 +207,9 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     misfit = F.when(wrong, F.lit(1.0)).when(F.col("margin").isNotNull(), late).otherwise(0)
     # thousandths, so that the sum is exact in any order
     scored = laid.groupBy(source, "zone").agg(F.sum(F.round(misfit * 1000).cast("bigint") * F.col("n")).alias("misfit"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
-    rank = {z: i for i, z in enumerate(candidates)}
-    order = F.coalesce(F.create_map(*chain.from_iterable((F.lit(z), F.lit(i)) for z, i in rank.items()))[F.col("zone")], F.lit(-1))
-    best = scored.groupBy(source).agg(F.min(F.struct("misfit", order.alias("o"), "zone", "violations", "evidence")).alias("b"))
+    ranks = spark.createDataFrame([(z, i) for i, z in enumerate(names)], "zone string, o int")
+    scored = scored.join(bounded(ranks), "zone", "left").withColumn("misfit", F.col("misfit") + F.when(F.col("o") >= len(likely), 1000 + F.col("evidence") * 50).otherwise(0))
+    best = scored.groupBy(source).agg(F.min(F.struct("misfit", "o", "zone", "violations", "evidence")).alias("b"))
     declared = sources.select(F.col(source).alias("_s"), "tz_name").where("tz_name IS NOT NULL")
     best = best.join(bounded(declared), best[source] == F.col("_s"), "left")
     zone = F.when(F.col("tz_name").isNull() & ((F.col("b.violations") * 2 > F.col("b.evidence")) | (F.col("b.evidence") < support)), "UTC").otherwise(F.col("b.zone"))
@@ -214,12 +225,17 @@ def normalise(df: DataFrame, sources: DataFrame, stamp: str = "updated", source:
     """
     own = sources.select(F.col(source).alias("_s"), F.col("tz_name").alias("_tz"), F.col("date_order").alias("_order")).dropDuplicates(["_s"])
     own = bounded(own)
-    parsed = parse(df.join(own, df[source] == F.col("_s"), "left"), stamp, "_order")
-    zones = estimate_zones(parsed, sources, source, received)
-    names = sorted({*CANDIDATE_ZONES, *(r[0] for r in sources.where("tz_name IS NOT NULL").select("tz_name").distinct().limit(1000).collect())})
-    table = F.create_map(*chain.from_iterable((F.lit(f"{z} {a}"), F.lit(m).cast("bigint")) for (z, a), m in sorted(abbreviation_offsets(names).items())))
-    chosen = zones.select(F.col(source).alias("_z"), "zone")
-    out = parsed.join(bounded(chosen), F.col(source) == F.col("_z"), "left")
+    joined = df.join(own, df[source] == F.col("_s"), "left")
+    parsed = parse(joined, stamp, "_order")
+    undeclared = F.col("_tz").isNull() & F.col(source).isNotNull()
+    names = {*CANDIDATE_ZONES, *declared_zones(sources)}
+    if joined.where(undeclared).isEmpty():
+        out = parsed.withColumn("_z", F.lit(None)).withColumn("zone", F.lit(None).cast("string"))
+    else:
+        names |= {*known_zones(df.sparkSession)}
+        chosen = estimate_zones(parsed.where(undeclared), sources, source, received).select(F.col(source).alias("_z"), "zone")
+        out = parsed.join(bounded(chosen), F.col(source) == F.col("_z"), "left")
+    table = F.create_map(*chain.from_iterable((F.lit(f"{z} {a}"), F.lit(m).cast("bigint")) for (z, a), m in sorted(abbreviation_offsets(sorted(names)).items())))
     zone = F.coalesce("zone", "_tz", F.lit("UTC"))
     local, abbr = F.col("_stamp.local"), F.col("_stamp.abbr")
     minutes = F.coalesce(F.col("_stamp.off"), F.when(abbr.isNotNull(), table[F.concat_ws(" ", zone, abbr)]))

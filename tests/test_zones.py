@@ -77,3 +77,11 @@ def test_zones_are_found_by_receipt_alone(spark):
 
 def test_receipt_weeks_later_is_no_evidence(spark):
     assert found(spark, zoneless("America/New_York", [30_000, 90_000])) is None
+
+
+def test_zones_outside_the_short_list(spark):
+    for zone, declared in (("Asia/Kathmandu", ()), ("America/St_Johns", ()), ("America/Caracas", ("America/Caracas",))):
+        df, areas = source(spark, [*stated(zone, 20), ("2021-07-01 12:00:00", None)], declared)
+        got = {r.updated: r.updated_utc for r in normalise(df, areas).collect()}
+        want = datetime(2021, 7, 1, 12, tzinfo=ZoneInfo(zone)).astimezone(UTC)
+        assert got["2021-07-01 12:00:00"] == want.strftime("%Y%m%d%H%M%S000")
