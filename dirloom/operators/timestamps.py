@@ -40,7 +40,7 @@ _SHAPES = {  # date shapes; each is rewritten to year|month|day|rest
 }
 _NUMERIC = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?:,? (.*))?$"
 #: hour|minute|second|fraction|half of day|zone
-_TIME = r"^(\d{1,2})(:?)(\d{2})(?:\2(\d{2})(?:[.,](\d{1,18}))?)?(?: ?([AP]M)(?![A-Z]))? ?(Z|(?:UTC|GMT)?[+-]\d{1,2}(?::?[0-5]\d)?|[A-Z]{2,5})?$"
+_TIME = r"^(\d{1,2})(:?)(\d{2})(?:\2(\d{2})(?:[.,](\d+))?)?(?: ?([AP]M)(?![A-Z]))? ?(Z|(?:UTC|GMT)?[+-]\d{1,2}(?::?[0-5]\d)?|[A-Z]{2,5})?$"
 
 
 def _long(c: Column) -> Column:
@@ -108,13 +108,11 @@ def _stamp(t: Column, order: Column) -> Column:
 def parse(df: DataFrame, stamp: str = "updated", order: str = "date_order") -> DataFrame:
     """``df`` with ``_stamp``: struct of ``utc`` (a moment in microseconds), or ``local`` with ``off`` (minutes) or ``abbr`` or neither.
 
-    All are null for a text that names no moment (impossible dates, words, empty, null, more
-    than 100 characters). ``order`` is the column that says whether all-numeric dates are DMY
+    All are null for a text that names no moment (impossible dates, words, empty, null). ``order`` is the column that says whether all-numeric dates are DMY
     or MDY; null means DMY.
     """
     t = F.regexp_replace(F.upper(trim_blanks(stamp)), r"(?U)\s+", " ")
     t = F.regexp_replace(t, r"^(?:MON|TUES?|WED(?:NES)?|THU(?:RS)?|FRI|SAT(?:UR)?|SUN)(?:DAY)?,? (?=[A-Z0-9])", "")
-    t = F.when(F.length(F.trim(stamp)) <= 100, t)
     return df.withColumn("_stamp", _let(t, lambda x: _stamp(x, F.col(order))))
 
 

@@ -85,3 +85,10 @@ def test_zones_outside_the_short_list(spark):
         got = {r.updated: r.updated_utc for r in normalise(df, areas).collect()}
         want = datetime(2021, 7, 1, 12, tzinfo=ZoneInfo(zone)).astimezone(UTC)
         assert got["2021-07-01 12:00:00"] == want.strftime("%Y%m%d%H%M%S000")
+
+
+def test_length_loses_no_stamp(spark):
+    texts = ["\t" * 90 + "2020-01-01 10:00" + "\r\n" * 20, "2020-01-01" + " " * 200 + "10:00", "1577872800." + "0" * 120, "2020-01-01 10:00:00." + "0" * 120, "x" * 100_000, "1" * 100_000]
+    df, areas = source(spark, [(t, None) for t in texts])
+    got = {r.updated: r.updated_utc for r in normalise(df, areas).collect()}
+    assert [got[t] for t in texts] == ["20200101100000000"] * 4 + [None] * 2
