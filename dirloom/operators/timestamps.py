@@ -144,7 +144,7 @@ def abbreviation_offsets(zones: list[str]) -> dict[tuple[str, str], int]:
 
 
 def abbreviations(spark: SparkSession, zones: Iterable[str]) -> DataFrame:
-    """(zone, used): for each zone that exists a map from abbreviation to its offsets, the last one first."""
+    """(zone, _used): for each zone that exists a map from abbreviation to its offsets, the last one first."""
     used: dict[str, dict[str, list[int]]] = {}
     for name in sorted({*zones}):
         for z, abbr, minutes in _used_since_1990(name):
@@ -152,7 +152,7 @@ def abbreviations(spark: SparkSession, zones: Iterable[str]) -> DataFrame:
             if minutes in offsets:
                 offsets.remove(minutes)
             offsets.insert(0, minutes)
-    return spark.createDataFrame([*used.items()], "zone string, used map<string, array<bigint>>")
+    return spark.createDataFrame([*used.items()], "zone string, _used map<string, array<bigint>>")
 
 
 def declared_zones(sources: DataFrame) -> list[str]:
@@ -166,8 +166,8 @@ def known_zones(spark: SparkSession) -> list[str]:
 
 
 def _abbreviated(local: Column, abbr: Column, zone: Column) -> Column:
-    """Offsets that ``abbr`` means in the zone (map ``used``) at that local time, the largest first; on a doubled time both."""
-    return F.sort_array(F.filter(F.coalesce(F.col("used")[abbr], F.array().cast("array<bigint>")), lambda o: _holds(local, o, zone)), asc=False)
+    """Offsets that ``abbr`` means in the zone (map ``_used``) at that local time, the largest first; on a doubled time both."""
+    return F.sort_array(F.filter(F.coalesce(F.col("_used")[abbr], F.array().cast("array<bigint>")), lambda o: _holds(local, o, zone)), asc=False)
 
 
 def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5, support: int = 5) -> DataFrame:
@@ -233,9 +233,12 @@ def normalise(df: DataFrame, sources: DataFrame, stamp: str = "updated", source:
         names |= {*known_zones(df.sparkSession)}
         chosen = estimate_zones(parsed.where(undeclared), sources, source, received).select(F.col(source).alias("_z"), "zone")
         out = parsed.join(bounded(chosen), F.col(source) == F.col("_z"), "left")
-    table = F.create_map(*chain.from_iterable((F.lit(f"{z} {a}"), F.lit(m).cast("bigint")) for (z, a), m in sorted(abbreviation_offsets(sorted(names)).items())))
+    used = abbreviations(df.sparkSession, names).withColumnRenamed("zone", "_n")
     zone = F.coalesce("zone", "_tz", F.lit("UTC"))
+    out = out.join(bounded(used), zone == F.col("_n"), "left")
     local, abbr = F.col("_stamp.local"), F.col("_stamp.abbr")
-    minutes = F.coalesce(F.col("_stamp.off"), F.when(abbr.isNotNull(), table[F.concat_ws(" ", zone, abbr)]))
+    # what the abbreviation means at that time; one out of season keeps its last meaning
+    meant = F.coalesce(F.get(_abbreviated(local, abbr, zone), F.lit(0)), F.get(F.col("_used")[abbr], F.lit(0)))
+    minutes = F.coalesce(F.col("_stamp.off"), F.when(abbr.isNotNull(), meant))
     us = F.coalesce(F.col("_stamp.utc"), F.when(minutes.isNotNull(), local - minutes * MIN_US).when(local.isNotNull(), _to_utc(local, zone)))
-    return out.withColumn("utc_us", us).withColumn("updated_utc", _let(F.col("utc_us"), serial)).drop("_s", "_tz", "_order", "_z", "zone", "_stamp")
+    return out.withColumn("utc_us", us).withColumn("updated_utc", _let(F.col("utc_us"), serial)).drop("_s", "_tz", "_order", "_z", "zone", "_n", "_used", "_stamp")

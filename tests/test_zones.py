@@ -92,3 +92,11 @@ def test_length_loses_no_stamp(spark):
     df, areas = source(spark, [(t, None) for t in texts])
     got = {r.updated: r.updated_utc for r in normalise(df, areas).collect()}
     assert [got[t] for t in texts] == ["20200101100000000"] * 4 + [None] * 2
+
+
+def test_abbreviation_means_what_it_meant_then(spark):
+    cases = [("2012-07-01 12:00:00 MSK", "20120701080000000"), ("2016-07-01 12:00:00 MSK", "20160701090000000"), ("2005-01-01 12:00:00 MSK", "20050101090000000"), ("2005-01-01 12:00:00 MSD", "20050101080000000"), ("2005-01-01 12:00:00 XYZ", "20050101090000000")]
+    df = spark.createDataFrame([("m", t, None) for t, _ in cases], "auth_area string, updated string, received_at timestamp_ntz")
+    areas = spark.createDataFrame([("m", "Europe/Moscow", "DMY")], "auth_area string, tz_name string, date_order string")
+    got = {r.updated: r.updated_utc for r in normalise(df, areas).collect()}
+    assert got == dict(cases)
