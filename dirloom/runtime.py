@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast. Checked by counting before each broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes (as the planner knows them) up to which a side may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,23 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is proven to hold at most ``max_rows`` rows.
+def plan_bytes(df: DataFrame) -> int:
+    """Size of ``df`` by the optimizer's statistics: file sizes for scans, never less for what is derived of them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-    The proof is a count that stops after ``max_rows + 1`` rows. A larger side is returned
-    unmarked, so that the join is shuffled and AQE splits its hot keys.
+
+def bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES, by: DataFrame | None = None) -> DataFrame:
+    """``df`` marked for broadcast if the plan's own statistics prove it small; no job is run.
+
+    ``by`` is a frame that has at least as many rows, when ``df`` itself comes from an
+    aggregation whose statistics say nothing. A larger side is returned unmarked: the join is
+    then shuffled, and AQE splits its hot keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if plan_bytes(df if by is None else by) <= max_bytes else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; a local one only if the session names none."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
+
+    Only a local master may go without the setting; its executors are this machine.
+    """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="dirloom-"))
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or f"file:/tmp/dirloom-{uuid.uuid4().hex}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -40,3 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; later readers don't compute it again."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, laid out by ``partition_by``; read back with pruning."""
+    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    w = df.write
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
