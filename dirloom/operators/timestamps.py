@@ -9,8 +9,9 @@ were received) and the zone that fits best wins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from functools import lru_cache
 from itertools import chain
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError, available_timezones
 
@@ -143,26 +144,36 @@ def abbreviation_offsets(zones: list[str]) -> dict[tuple[str, str], int]:
     return {(z, abbr): minutes for name in zones for z, abbr, minutes in _used_since_1990(name)}
 
 
-def abbreviations(spark: SparkSession, zones: Iterable[str]) -> DataFrame:
-    """(zone, _used): for each zone that exists a map from abbreviation to its offsets, the last one first."""
-    used: dict[str, dict[str, list[int]]] = {}
-    for name in sorted({*zones}):
-        for z, abbr, minutes in _used_since_1990(name):
-            offsets = used.setdefault(z, {}).setdefault(abbr, [])
+@lru_cache(maxsize=1)
+def _zone_table() -> tuple[tuple[str, dict[str, list[int]]], ...]:
+    """(zone, offsets by abbreviation, the last first) of every zone of the tz database."""
+    table = []
+    for name in sorted(available_timezones()):
+        used: dict[str, list[int]] = {}
+        for _, abbr, minutes in _used_since_1990(name):
+            offsets = used.setdefault(abbr, [])
             if minutes in offsets:
                 offsets.remove(minutes)
             offsets.insert(0, minutes)
-    return spark.createDataFrame([*used.items()], "zone string, _used map<string, array<bigint>>")
+        table.append((name, used))
+    return tuple(table)
 
 
-def declared_zones(sources: DataFrame) -> list[str]:
-    return [r[0] for r in sources.where("tz_name IS NOT NULL").select("tz_name").distinct().collect()]
+def zones(spark: SparkSession) -> DataFrame:
+    """(zone, _used, place): the zones that Python and the JVM both know, some 600 rows; place: whether it names a place."""
+    jvm = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    rows = [(z, used, "/" in z and not z.startswith(("Etc/", "SystemV/", "posix/", "right/"))) for z, used in _zone_table() if z in jvm]
+    return F.broadcast(spark.createDataFrame(rows, "zone string, _used map<string, array<bigint>>, place boolean").coalesce(1))
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """Names of places in the tz database that both Python and the JVM know."""
-    jvm = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
-    return sorted(z for z in available_timezones() & jvm if "/" in z and not z.startswith(("Etc/", "SystemV/", "posix/", "right/")))
+def _known_sources(sources: DataFrame, source: str, known: DataFrame) -> DataFrame:
+    """(source, tz_name, date_order), one row each; a zone that does not exist counts as none."""
+    has = {c: F.first(c, ignorenulls=True).alias(c) if c in sources.columns else F.lit(None).cast("string").alias(c) for c in ("tz_name", "date_order")}
+    once = sources.where(F.col(source).isNotNull()).groupBy(source).agg(F.min("tz_name").alias("tz_name"), *[has["date_order"]] * ("date_order" in sources.columns))
+    if "date_order" not in sources.columns:
+        once = once.withColumn("date_order", has["date_order"])
+    real = known.select(F.col("zone").alias("_real"))
+    return once.join(real, once["tz_name"] == F.col("_real"), "left").select(source, F.col("_real").alias("tz_name"), "date_order")
 
 
 def _abbreviated(local: Column, abbr: Column, zone: Column) -> Column:
@@ -170,8 +181,15 @@ def _abbreviated(local: Column, abbr: Column, zone: Column) -> Column:
     return F.sort_array(F.filter(F.coalesce(F.col("_used")[abbr], F.array().cast("array<bigint>")), lambda o: _holds(local, o, zone)), asc=False)
 
 
-def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5, support: int = 5) -> DataFrame:
-    """(source, zone, violations, evidence): the offset history that fits the evidence best.
+def _received_us(df: DataFrame, received: str) -> Column:
+    """Receipt in microseconds since 1970; a time without zone means UTC, whatever the session's zone."""
+    if df.schema[received].dataType.typeName() == "timestamp":
+        return F.unix_micros(received)
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(`{received}` AS TIMESTAMP_NTZ))")
+
+
+def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_area", received: str = "received_at", candidates: tuple[str, ...] = CANDIDATE_ZONES, slack_minutes: int = 5, support: int = 5, declared_weight: float = 1.0) -> DataFrame:
+    """(source, zone, violations, evidence): for each source the offset history that fits the evidence best.
 
     Evidence is pre-aggregated per source, local quarter hour and stated offset before candidate
     zones are laid over it, so a source holding a third of all rows costs no more than its
@@ -180,65 +198,72 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     that puts it after it was received, and misfits one the more the longer before receipt it
     puts it, by up to half a violation at a day or more: a zone west of the true one makes stamps
     late, one east of it makes them early. Only zone-less stamps received within a day count.
-    Candidates are all zones; one that is neither in ``candidates`` nor declared by another source
-    must fit better by one violation and a twentieth of the evidence.
     An abbreviation violates a history that does not use it at that time. Stamps marked Z, UTC or
-    GMT say nothing about the writer and are no evidence; a numeric +00:00 is. A declared zone is
-    the only candidate of its source. A source with less than ``support`` evidence, or whose best
-    history is violated by more than half of it, is read as UTC.
+    GMT say nothing about the writer and are no evidence; a numeric +00:00 is.
+
+    A zone the source declares is itself evidence: it counts as ``declared_weight`` agreements
+    for each observation. At 1.0 no observations can outweigh it, which is what a binding
+    declaration means; a lower weight lets a source that contradicts its declaration most of the
+    time be read by what its stamps show. ``violations`` of the chosen history are reported
+    either way. Candidates are the listed zones and those that any source declares; for a source
+    without declaration also every other zone, which must fit better by one violation and a
+    twentieth of the evidence. An undeclared source with less than ``support`` evidence, or whose
+    best history is violated by more than half of it, is read as UTC. Sources that are not in
+    ``sources`` get no row.
     """
+    known = zones(parsed.sparkSession)
+    own = _known_sources(sources, source, known)
     # minutes between the local time and receipt, cut to what can matter
     local, off = F.col("_stamp.local"), F.col("_stamp.off")
-    margin = F.floor((F.unix_micros(F.col(received).cast("timestamp_ntz").cast("timestamp")) - local) / F.lit(float(MIN_US)))
+    margin = F.floor((_received_us(parsed, received) - local) / F.lit(float(MIN_US)))
     said = parsed.where(~F.coalesce("_stamp.named", F.lit(False))).select(source, F.floor(local / F.lit(float(QUARTER_US))).cast("bigint").alias("quarter"), off.alias("off"), F.col("_stamp.abbr").alias("abbr"), F.when(off.isNull() & F.col("_stamp.abbr").isNull(), F.greatest(F.lit(-NEAR_MIN - 1), F.least(F.lit(NEAR_MIN + 1), margin))).cast("int").alias("margin"))
-    seen = said.groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n")).where(f"quarter IS NOT NULL AND (off IS NOT NULL OR abbr IS NOT NULL OR margin BETWEEN -{NEAR_MIN} AND {NEAR_MIN})")
-    near = seen.join(bounded(sources.select(source, "tz_name")), source, "left")
-    spark = near.sparkSession
-    likely = list(dict.fromkeys([*candidates, *sorted(declared_zones(sources))]))
-    names = list(dict.fromkeys([*likely, *known_zones(spark)]))
-    used = bounded(abbreviations(spark, names))
-    laid = near.withColumn("zone", F.explode(F.when(F.col("tz_name").isNotNull(), F.array("tz_name")).otherwise(F.split(F.lit(",".join(names)), ",")))).join(used, "zone", "left")
+    seen = said.where(f"quarter IS NOT NULL AND (off IS NOT NULL OR abbr IS NOT NULL OR margin BETWEEN -{NEAR_MIN} AND {NEAR_MIN})").groupBy(source, "quarter", "off", "abbr", "margin").agg(F.count("*").alias("n"))
+
+    likely = known.where(F.col("zone").isin(*candidates)).select("zone").union(own.where("tz_name IS NOT NULL").select("tz_name")).distinct()
+    first = F.array_position(F.array(*map(F.lit, candidates)), F.col("zone"))
+    ranked = likely.agg(F.array_sort(F.collect_list(F.struct(F.when(first > 0, first).otherwise(len(candidates) + 1).alias("o"), "zone"))).alias("l"))
+    rest = known.where("place").agg(F.array_sort(F.collect_list(F.struct(F.lit(1 << 20).cast("bigint").alias("o"), "zone"))).alias("l"))
+    short = own.select(source, "tz_name", F.explode(ranked.scalar()).alias("c"))
+    wide = own.where("tz_name IS NULL").select(source, "tz_name", F.explode(rest.scalar()).alias("c"))
+    tried = short.union(wide).groupBy(source, "tz_name", F.col("c.zone").alias("zone")).agg(F.min("c.o").alias("o"))
+
+    tried = tried.join(known, "zone")
+    laid = seen.join(bounded(tried, by=sources), source)
     start = F.col("quarter") * QUARTER_US
     has = ((start - _to_utc(start, F.col("zone"))) / MIN_US).cast("bigint")
     wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).when(F.col("abbr").isNotNull(), F.size(_abbreviated(start, F.col("abbr"), F.col("zone"))) == 0).otherwise(F.col("margin") + has < -slack_minutes)
     late = F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("margin") + has) / F.lit(DAY_US / MIN_US)) / 2
     misfit = F.when(wrong, F.lit(1.0)).when(F.col("margin").isNotNull(), late).otherwise(0)
     # thousandths, so that the sum is exact in any order
-    scored = laid.groupBy(source, "zone").agg(F.sum(F.round(misfit * 1000).cast("bigint") * F.col("n")).alias("misfit"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
-    ranks = spark.createDataFrame([(z, i) for i, z in enumerate(names)], "zone string, o int")
-    scored = scored.join(bounded(ranks), "zone", "left").withColumn("misfit", F.col("misfit") + F.when(F.col("o") >= len(likely), 1000 + F.col("evidence") * 50).otherwise(0))
-    best = scored.groupBy(source).agg(F.min(F.struct("misfit", "o", "zone", "violations", "evidence")).alias("b"))
-    declared = sources.select(F.col(source).alias("_s"), "tz_name").where("tz_name IS NOT NULL")
-    best = best.join(bounded(declared), best[source] == F.col("_s"), "left")
+    scored = laid.groupBy(source, "tz_name", "zone", "o").agg(F.sum(F.round(misfit * 1000).cast("bigint") * F.col("n")).alias("misfit"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("evidence"))
+    declared = F.col("zone") == F.col("tz_name")
+    handicap = F.when(declared, -F.col("evidence") * round(declared_weight * 1000)).when(F.col("o") >= 1 << 20, 1000 + F.col("evidence") * 50).otherwise(0)
+    scored = scored.withColumn("misfit", F.col("misfit") + handicap)
+    best = scored.groupBy(source, "tz_name").agg(F.min(F.struct("misfit", F.when(declared, -1).otherwise(F.col("o")).alias("o"), "zone", "violations", "evidence")).alias("b"))
     zone = F.when(F.col("tz_name").isNull() & ((F.col("b.violations") * 2 > F.col("b.evidence")) | (F.col("b.evidence") < support)), "UTC").otherwise(F.col("b.zone"))
     return best.select(source, zone.alias("zone"), F.col("b.violations").alias("violations"), F.col("b.evidence").alias("evidence"))
 
 
-def normalise(df: DataFrame, sources: DataFrame, stamp: str = "updated", source: str = "auth_area", received: str = "received_at") -> DataFrame:
+def normalise(df: DataFrame, sources: DataFrame, stamp: str = "updated", source: str = "auth_area", received: str = "received_at", declared_weight: float = 1.0) -> DataFrame:
     """``df`` with ``utc_us`` and ``updated_utc``, the moment its stamp names.
 
-    Null, empty and undecidable stamps give null. Milliseconds are cut, not rounded. A source
-    that is null, or that neither declares a zone nor shows evidence, is read as UTC with DMY
-    dates. Extra columns of ``df`` are kept; those of ``sources`` never clash with them.
+    The zone of a source is the history ``estimate_zones`` chooses for it. Null, empty and
+    undecidable stamps give null. Milliseconds are cut, not rounded. A source that is null, or
+    that neither declares a zone nor shows evidence, is read as UTC with DMY dates; so is one
+    whose declared zone does not exist, unless its evidence shows another. A source listed twice
+    counts once. Extra columns of ``df`` are kept; those of ``sources`` never clash with them. A
+    word of letters after a time counts as an abbreviation; one that the zone never used has the
+    zone's own offset. The input is read twice: once for the evidence, once for the result.
     """
-    own = sources.select(F.col(source).alias("_s"), F.col("tz_name").alias("_tz"), F.col("date_order").alias("_order")).dropDuplicates(["_s"])
-    own = bounded(own)
-    joined = df.join(own, df[source] == F.col("_s"), "left")
-    parsed = parse(joined, stamp, "_order")
-    undeclared = F.col("_tz").isNull() & F.col(source).isNotNull()
-    names = {*CANDIDATE_ZONES, *declared_zones(sources)}
-    if joined.where(undeclared).isEmpty():
-        out = parsed.withColumn("_z", F.lit(None)).withColumn("zone", F.lit(None).cast("string"))
-    else:
-        names |= {*known_zones(df.sparkSession)}
-        chosen = estimate_zones(parsed.where(undeclared), sources, source, received).select(F.col(source).alias("_z"), "zone")
-        out = parsed.join(bounded(chosen), F.col(source) == F.col("_z"), "left")
-    used = abbreviations(df.sparkSession, names).withColumnRenamed("zone", "_n")
-    zone = F.coalesce("zone", "_tz", F.lit("UTC"))
-    out = out.join(bounded(used), zone == F.col("_n"), "left")
-    local, abbr = F.col("_stamp.local"), F.col("_stamp.abbr")
+    known = zones(df.sparkSession)
+    own = _known_sources(sources, source, known).select(F.col(source).alias("_s"), F.col("tz_name").alias("_tz"), F.col("date_order").alias("_order"))
+    parsed = parse(df.join(bounded(own, by=sources), df[source] == F.col("_s"), "left"), stamp, "_order")
+    chosen = estimate_zones(parsed, sources, source, received, declared_weight=declared_weight).select(F.col(source).alias("_z"), F.col("zone").alias("_zone"))
+    out = parsed.join(bounded(chosen, by=sources), F.col(source) == F.col("_z"), "left").withColumn("_zone", F.coalesce("_zone", "_tz", F.lit("UTC")))
+    out = out.join(known.select(F.col("zone").alias("_n"), "_used"), F.col("_zone") == F.col("_n"), "left")
+    local, abbr, zone = F.col("_stamp.local"), F.col("_stamp.abbr"), F.col("_zone")
     # what the abbreviation means at that time; one out of season keeps its last meaning
     meant = F.coalesce(F.get(_abbreviated(local, abbr, zone), F.lit(0)), F.get(F.col("_used")[abbr], F.lit(0)))
     minutes = F.coalesce(F.col("_stamp.off"), F.when(abbr.isNotNull(), meant))
     us = F.coalesce(F.col("_stamp.utc"), F.when(minutes.isNotNull(), local - minutes * MIN_US).when(local.isNotNull(), _to_utc(local, zone)))
-    return out.withColumn("utc_us", us).withColumn("updated_utc", _let(F.col("utc_us"), serial)).drop("_s", "_tz", "_order", "_z", "zone", "_n", "_used", "_stamp")
+    return out.withColumn("utc_us", us).withColumn("updated_utc", _let(F.col("utc_us"), serial)).drop("_s", "_tz", "_order", "_z", "_zone", "_n", "_used", "_stamp")

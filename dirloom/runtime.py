@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of ``df`` by the optimizer's statistics: file sizes for scans, never less for what is derived of them."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES, by: DataFrame | None = None) -> DataFrame:
