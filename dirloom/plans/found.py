@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cells import lost
+from ..operators.wide import lost
 from ..operators.changes import live
 from ..operators.copies import copies
 from ..operators.passages import contained
