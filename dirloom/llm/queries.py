@@ -10,6 +10,7 @@ from ..runtime import table
 from .copies import copies, copy_pairs
 from .packing import packed
 from .passages import contained
+from .prose import not_prose, statistics, text_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,5 +35,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_copies": p5_copies, "p7_packed": p7_packed, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    return not_prose(table(spark, sf_dir, "documents"))
+
+
+def p9_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the share of its characters in prose, lists, tables and junk, and its type."""
+    types = text_types(table(spark, sf_dir, "documents"))
+    return types.select("doc_id", "chars", *[types[t].cast("decimal(6,4)").alias(t) for t in ("prose", "list", "table", "junk")], "type")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of words, symbols, line ends and common words of every document."""
+    return statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_copies": p5_copies, "p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found, "p9_types": p9_types, "p9_statistics": p9_statistics}
 ORACLES: dict[str, str] = {}
