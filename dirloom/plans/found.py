@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.wide import lost
 from ..operators.changes import live
-from ..operators.copies import copies
-from ..operators.passages import contained
 from ..operators.rows import rejected
 from ..operators.timestamps import normalise
 from ..operators.versions import changes
@@ -38,16 +35,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost(table(spark, sf_dir, "av_pairs"), table(spark, sf_dir, "attr_defs"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each copy in ``records`` with the smallest row_id among its copies."""
-    return copies(table(spark, sf_dir, "records"), table(spark, sf_dir, "attr_defs"))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of attributes between the versions of each db_dir."""
     return changes(table(spark, sf_dir, "class_files"), table(spark, sf_dir, "file_pairs"))
-
-
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain 12 consecutive words of an item."""
-    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
