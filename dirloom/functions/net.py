@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .norm import col
+from .norm import col, let
 
 #: Fixed pattern: what may be looked up as a network.
 NETWORK = r"^[a-fA-F0-9]+([.:][a-fA-F0-9]*)*(/[0-9]+)?$"
@@ -34,7 +34,10 @@ def is_strict_cidr(c: Column | str) -> Column:
 
 def unpadded(c: Column | str) -> Column:
     """An IPv4 address without zero padding of its numbers; other text, or numbers above 255, stay as they are."""
-    v = col(c)
+    return let(_unpadded, col(c))
+
+
+def _unpadded(v: Column) -> Column:
     parts = F.transform(F.split(v, r"\."), lambda p: p.try_cast("int"))
     sound = v.rlike(r"^[0-9]+(\.[0-9]+){1,3}$") & F.forall(parts, lambda n: n.isNotNull() & (n <= 255))
     return F.when(sound, F.array_join(F.transform(parts, lambda n: n.cast("string")), ".")).otherwise(v)
@@ -62,6 +65,10 @@ def _hex6(address: Column) -> Column:
 
 def masked(hexed: Column, length: Column) -> Column:
     """The digits of an address with all bits from ``length`` on cleared."""
+    return let(_masked, hexed, length)
+
+
+def _masked(hexed: Column, length: Column) -> Column:
     whole = F.floor(length / 4).cast("int")
     digit = F.substr(hexed, whole + 1, F.lit(1))
     part = F.lit("")
@@ -76,22 +83,31 @@ def parse(c: Column | str) -> Column:
     Without a length the whole address counts; a length beyond the family's is no network.
     Numbers may be padded with zeros. The address is masked to the length.
     """
-    v = col(c)
+    return let(_parse, col(c))
+
+
+def _parse(v: Column) -> Column:
     slash = F.length(v) - F.length(F.substring_index(v, "/", -1))
     address = F.when(slash > 0, F.substr(v, F.lit(1), slash - 1)).otherwise(v)
-    said = F.when(slash > 0, F.substring_index(v, "/", -1).try_cast("int"))
-    plain = unpadded(address)
-    hexed = F.coalesce(_hex4(plain), _hex6(plain))
-    af = F.when(F.length(hexed) == 8, 4).when(F.length(hexed) == 32, 6)
-    most = F.when(af == 4, 32).otherwise(128)
     # text behind the slash that is no number counts as 0
-    length = F.when(slash > 0, F.coalesce(said, F.lit(0))).otherwise(most)
-    length = F.when(length < 0, most).otherwise(length)
+    said = F.when(slash > 0, F.coalesce(F.substring_index(v, "/", -1).try_cast("int"), F.lit(0)))
+    hexed = let(lambda plain: F.coalesce(_hex4(plain), let(_hex6, plain)), unpadded(address))
+    return let(_net, hexed, said)
+
+
+def _net(hexed: Column, said: Column) -> Column:
+    most = F.length(hexed) * 4
+    length = F.when(said >= 0, said).otherwise(most)
+    af = F.when(most == 32, 4).otherwise(6)
     return F.when(hexed.isNotNull() & (length <= most), F.struct(af.cast("int").alias("af"), masked(hexed, length).alias("hex"), length.cast("int").alias("len")))
 
 
 def canonical(net: Column) -> Column:
     """Canonical text: four three-digit numbers or eight four-digit groups, a slash and the length."""
+    return let(_canonical, net)
+
+
+def _canonical(net: Column) -> Column:
     h = net["hex"]
     four = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lpad(F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10), 3, "0")), ".")
     six = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(h, i * 4 + 1, F.lit(4))), ":")
@@ -100,12 +116,12 @@ def canonical(net: Column) -> Column:
 
 def key(net: Column) -> Column:
     """Text under which equal networks are equal."""
-    return F.concat_ws("/", net["hex"], net["len"].cast("string"))
+    return let(lambda n: F.concat_ws("/", n["hex"], n["len"].cast("string")), net)
 
 
 def covering_keys(net: Column) -> Column:
     """Keys of every network that contains or equals this one, 33 or 129 at most: the side to explode for an equi-join."""
-    return F.transform(F.sequence(F.lit(0), net["len"]), lambda n: F.concat_ws("/", masked(net["hex"], n), n.cast("string")))
+    return let(lambda v: F.transform(F.sequence(F.lit(0), v["len"]), lambda n: F.concat_ws("/", masked(v["hex"], n), n.cast("string"))), net)
 
 
 def compare(a: Column, b: Column) -> Column:
@@ -115,12 +131,12 @@ def compare(a: Column, b: Column) -> Column:
 
 def within(sub: Column, net: Column) -> Column:
     """Whether an address, masked to the network's length, is that network; a wider sub with the same start is within too."""
-    return F.coalesce((sub["af"] == net["af"]) & (masked(sub["hex"], net["len"]) == net["hex"]), F.lit(False))
+    return F.coalesce(let(lambda s, n: (s["af"] == n["af"]) & (masked(s["hex"], n["len"]) == n["hex"]), sub, net), F.lit(False))
 
 
 def shortened(net: Column) -> Column:
     """The network one bit wider; null for length 0."""
-    return F.when(net["len"] > 0, F.struct(net["af"].alias("af"), masked(net["hex"], net["len"] - 1).alias("hex"), (net["len"] - 1).alias("len")))
+    return let(lambda n: F.when(n["len"] > 0, F.struct(n["af"].alias("af"), masked(n["hex"], n["len"] - 1).alias("hex"), (n["len"] - 1).alias("len"))), net)
 
 
 def classful_length(net: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` over values that are evaluated once each, however often it names them.
+
+    Catalyst merges expressions by substitution, which multiplies nested ones; a lambda variable
+    is never substituted.
+    """
+    given = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.element_at(F.transform(F.array(given), lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), 1)
+
+
 def trim_blanks(c: Column | str) -> Column:
     """Without outer white space of any kind (spaces, tabs, line ends, Unicode spaces)."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.norm import ascii_upper
+from ..functions.norm import ascii_upper, trim_blanks
 from ..functions.shapes import is_email
 from .binding import value_of
 from .changes import spool_changes
@@ -105,9 +105,9 @@ def guardian_scheme(scheme: Column) -> Column:
 def references(records: DataFrame, defs: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, attr_id, target, found): every value of an attribute of type ID and whether some record has it as its rid, whatever the case."""
     kinds = defs.where("attr_type = 'ID'").select(F.col("class_name").alias("_c"), F.col("attr_id").alias("_i")).distinct()
-    cells = records.select(key, "class_name", F.explode("av").alias("x")).select(key, "class_name", F.col("x.attr_id").alias("attr_id"), F.trim(F.col("x.value")).alias("target")).where("target != ''")
+    cells = records.select(key, "class_name", F.explode("av").alias("x")).select(key, "class_name", F.col("x.attr_id").alias("attr_id"), trim_blanks(F.col("x.value")).alias("target")).where("target != ''")
     asked = cells.join(F.broadcast(kinds), (F.col("class_name") == F.col("_c")) & (F.col("attr_id") == F.col("_i"))).select(key, "attr_id", "target", ascii_upper("target").alias("_t"))
-    known = records.where("rid IS NOT NULL").select(ascii_upper(F.trim("rid")).alias("_t"), F.lit(True).alias("_k")).distinct()
+    known = records.where("rid IS NOT NULL").select(ascii_upper(trim_blanks("rid")).alias("_t"), F.lit(True).alias("_k")).distinct()
     return asked.join(known, "_t", "left").select(key, "attr_id", "target", F.coalesce("_k", F.lit(False)).alias("found"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import found
+from . import engine, found
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f"p{n}_found": getattr(found, f"p{n}_found") for n in (1, 2, 3, 4, 6)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f"p{n}_found": getattr(found, f"p{n}_found") for n in (1, 2, 3, 4, 6)} | engine.QUERIES
+ORACLES: dict[str, str] = found.ORACLES | engine.ORACLES

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +80,6 @@ def _index_hits(term: Term, catalog: Catalog, classes: tuple[str, ...]) -> Colum
 
 
 def _phonetic_keys(values: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def coded(v: pd.Series) -> pd.Series:
         return v.map(lambda xs: [phonetic.key_of(x) for x in xs] if xs is not None else None)
