@@ -44,7 +44,8 @@ _SYMBOL, _LOWER, _UPPER, _DIGIT, _BLANK = range(5)
 def _point_kinds() -> np.ndarray:
     """Symbol, lower-case (or caseless) letter, upper-case letter, digit or blank, for every code point."""
     of = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
+    of[0x20000:0x40000] = _LOWER  # ideographs
+    for c in range(0x20000):
         ch = chr(c)
         if ch.isspace() or c == 0xFEFF:
             of[c] = _BLANK
@@ -61,7 +62,7 @@ def _point_kinds() -> np.ndarray:
 def _lower_points() -> np.ndarray:
     """Each code point in lower case, where that is one code point."""
     low = np.arange(0x110000, dtype=np.uint32)
-    for c in range(0x110000):
+    for c in range(0x20000):  # no letter beyond has a case
         s = chr(c).lower()
         if len(s) == 1:
             low[c] = ord(s)
@@ -97,7 +98,8 @@ class Text:
                 weight = (_lower_points()[self.points[sound]].astype(np.uint64) + np.uint64(1)) * power[np.arange(int(length.sum())) - np.repeat(first, length)]
                 value = np.add.reduceat(weight, first)
                 self.value = (value ^ value >> np.uint64(31)) * _MIX
-        self.line = np.searchsorted(self.line_start, self.start, side="right") - 1
+        self.line_of = np.cumsum(newline)  # of each code point but line ends
+        self.line = self.line_of[self.start]
         self.text = self.line_text[self.line]
 
     def neighbours(self) -> np.ndarray:
@@ -136,9 +138,9 @@ class Idiom:
         at = np.searchsorted(self.words, value).clip(max=len(self.words) - 1)
         return np.where(self.words[at] == value, at, -1)
 
-    def pairs(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, text: Text, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each neighbouring pair of words the pair's number, -1 if a word is not common; and whether they are neighbours."""
-        r, near = self.rank(text.value), text.neighbours()
+        r, near = self.rank(text.value) if rank is None else rank, text.neighbours()
         both = near & (r[:-1] >= 0) & (r[1:] >= 0) if len(near) else near
         return np.where(both, r[:-1] * len(self.words) + r[1:], -1) if len(near) else np.zeros(0, int), near
 
@@ -166,20 +168,21 @@ def lines(text: Text, idiom: Idiom) -> pd.DataFrame:
         return upto[text.line_end] - upto[text.line_start]
 
     def at_line(place: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        return np.bincount(np.searchsorted(text.line_start, place, side="right") - 1, weights=weights, minlength=n)
+        return np.bincount(text.line_of[place], weights=weights, minlength=n)
 
     following = np.r_[kind[1:], np.uint8(_BLANK)]
     before = np.r_[np.uint8(_BLANK), kind[:-1]]
     tight = following != _BLANK
     tab = p == 9
     gap_at = text.token_end[:-1] if len(text.token_end) else text.token_end
-    wide = (text.token_start[1:] - gap_at >= 2) & (np.searchsorted(text.line_start, text.token_start[1:], side="right") == np.searchsorted(text.line_start, gap_at, side="right")) if len(gap_at) else np.zeros(0, bool)
+    tokens = text.line_of[text.token_start]
+    wide = (text.token_start[1:] - gap_at >= 2) & (tokens[1:] == tokens[:-1]) if len(gap_at) else np.zeros(0, bool)
     bars = p == ord("|")
     commas = ((p == ord(",")) | (p == ord(";"))) & (tight | (following == _BLANK) & (np.r_[p[1:], np.uint32(10)] == 10))
     alone = (bars | (p == ord("/")) | (p == 0xBB)) & ~tight & (before == _BLANK)
 
     rank = idiom.rank(text.value)
-    pair, near = idiom.pairs(text)
+    pair, near = idiom.pairs(text, rank)
     good = np.zeros(len(pair), bool)
     good[pair >= 0] = idiom.good[pair[pair >= 0]]
     word_line = text.line
@@ -188,7 +191,6 @@ def lines(text: Text, idiom: Idiom) -> pd.DataFrame:
         return np.bincount(at[mask], minlength=n)
 
     # a line's first token says whether it is marked: a bullet, a box, or a short number or letter with a dot or bracket
-    tokens = np.searchsorted(text.line_start, text.token_start, side="right") - 1
     first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, int)
     fs, fe = text.token_start[first], text.token_end[first]
     size = fe - fs
@@ -212,7 +214,7 @@ def lines(text: Text, idiom: Idiom) -> pd.DataFrame:
     letters = np.r_[0, np.cumsum((kind == _LOWER) | (kind == _UPPER))]
     plain = (letters[text.end] - letters[text.start]) >= np.maximum(1, text.end - text.start - 1)
 
-    fields = at_line(np.flatnonzero(tab | bars | commas)) + (at_line(gap_at[wide]) if len(gap_at) else 0)
+    fields = at_line(np.flatnonzero(tab | bars | commas)) + (at_line(text.token_start[1:][wide]) if len(gap_at) else 0)
     slash = np.r_[p[1:], np.uint32(10)] == ord("/")
     colons = per((p == ord(":")) & tight & (before != _BLANK) & ~slash)
     length = text.token_end - text.token_start
@@ -224,7 +226,7 @@ def lines(text: Text, idiom: Idiom) -> pd.DataFrame:
     out = pd.DataFrame({
         "text": text.line_text, "chars": per(kind != _BLANK), "letters": per((kind == _LOWER) | (kind == _UPPER)), "upper": per(kind == _UPPER), "digits": per(kind == _DIGIT), "symbols": per(kind == _SYMBOL),
         "words": np.bincount(word_line, minlength=n), "common": by_word(rank >= 0, word_line), "pairs": by_word(near, word_line[1:]), "both": by_word(pair >= 0, word_line[1:]), "idiom": by_word(good, word_line[1:]), "fields": fields, "colons": colons,
-        "items": at_line(np.flatnonzero(alone)) + (at_line(gap_at[wide]) if len(gap_at) else 0), "marked": marked, "ended": by_word(ends, word_line), "closed": closed, "plain": by_word(plain, word_line), "longest": longest, "repeats": by_word(text.repeated(), word_line),
+        "items": at_line(np.flatnonzero(alone)) + (at_line(text.token_start[1:][wide]) if len(gap_at) else 0), "marked": marked, "ended": by_word(ends, word_line), "closed": closed, "plain": by_word(plain, word_line), "longest": longest, "repeats": by_word(text.repeated(), word_line),
     })
     out = out[out["chars"] > 0].reset_index(drop=True)
     shape = out["fields"].to_numpy() * 64 + out["colons"].to_numpy()
