@@ -444,7 +444,8 @@ def idiom(docs: DataFrame) -> Idiom:
 
     width = max(1, len(common.words))
     seen = source.mapInArrow(pairs, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
-    seen = seen.select("v", "n", F.expr(f"v div {width}").alias("a"), F.expr(f"v % {width}").alias("b"))
+    # cut, for it is read four times and Python stages are never shared
+    seen = cut(seen.select("v", "n", F.expr(f"v div {width}").alias("a"), F.expr(f"v % {width}").alias("b")))
     total = seen.agg(F.sum("n").alias("all"))
     # marginals of at most COMMON rows each
     first, second = seen.groupBy("a").agg(F.sum("n").alias("na")), seen.groupBy("b").agg(F.sum("n").alias("nb"))
