@@ -118,6 +118,7 @@ class Text:
             for i in range(1, 6):
                 six = six * _MUL + self.value[i : len(self.value) - 5 + i]
         order = np.argsort(six, kind="stable")
+        order = order[self.text[order] == self.text[order + 5]]  # within one text
         same = (six[order][1:] == six[order][:-1]) & (order[1:] - order[:-1] <= REPEAT_SPAN) & (self.text[order[1:]] == self.text[order[:-1]])
         out[order[1:][same]] = True
         return out
