@@ -171,9 +171,10 @@ def class_directory(records: DataFrame) -> DataFrame:
 
 def schema_listing(defs: DataFrame) -> DataFrame:
     """(class_name, attr_name, property, value): what is declared of each attribute, one property a row; of its index only whether there is one."""
+    kind = F.when(F.col("attr_type") == "SEE-ALSO", "See-Also").when(F.col("attr_type") == "ID", "ID").otherwise("Text")
     shown = {
-        "attribute": F.col("attr_name"), "format": F.lit(""), "indexed": on_off(F.col("index_kind") != "NONE"), "required": on_off("is_required"), "multi-line": on_off("is_multi_line"), "repeatable": on_off("is_repeatable"),
-        "primary": on_off("is_primary_key"), "hierarchical": on_off("is_hierarchical"), "private": on_off("is_private"), "type": F.col("attr_type"), "alias": F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), ","),
+        "attribute": F.col("attr_name"), "format": F.lit(""), "description": F.lit(""), "indexed": on_off(F.col("index_kind") != "NONE"), "required": on_off("is_required"), "multi-line": on_off("is_multi_line"),
+        "repeatable": on_off("is_repeatable"), "hierarchical": on_off("is_hierarchical"), "private": on_off("is_private"), "type": kind, "primary": on_off("is_primary_key"),
     }
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("property"), v.alias("value")) for k, v in shown.items()])).alias("p")
     return defs.select("class_name", "attr_name", pairs).select("class_name", "attr_name", "p.property", "p.value")

@@ -541,7 +541,7 @@ def class_listing(spark: SparkSession, d: str) -> DataFrame:
 ON = "CASE WHEN {} THEN 'ON' ELSE 'OFF' END"
 
 
-@query(f"SELECT class_name, attr_name, unnest(['attribute', 'format', 'indexed', 'required', 'multi-line', 'repeatable', 'primary', 'hierarchical', 'private', 'type', 'alias']) AS property, unnest([attr_name, '', {ON.format("index_kind <> 'NONE'")}, {ON.format('is_required')}, {ON.format('is_multi_line')}, {ON.format('is_repeatable')}, {ON.format('is_primary_key')}, {ON.format('is_hierarchical')}, {ON.format('is_private')}, attr_type, array_to_string(coalesce(aliases, []), ',')]) AS value FROM attr_defs")
+@query(f"SELECT class_name, attr_name, unnest(['attribute', 'format', 'description', 'indexed', 'required', 'multi-line', 'repeatable', 'hierarchical', 'private', 'type', 'primary']) AS property, unnest([attr_name, '', '', {ON.format("index_kind <> 'NONE'")}, {ON.format('is_required')}, {ON.format('is_multi_line')}, {ON.format('is_repeatable')}, {ON.format('is_hierarchical')}, {ON.format('is_private')}, CASE attr_type WHEN 'SEE-ALSO' THEN 'See-Also' WHEN 'ID' THEN 'ID' ELSE 'Text' END, {ON.format('is_primary_key')}]) AS value FROM attr_defs")
 def schema_listing(spark: SparkSession, d: str) -> DataFrame:
     """Declared properties of all attributes"""
     return cat.schema_listing(table(spark, d, "attr_defs"))
@@ -571,7 +571,7 @@ def alias_directory(spark: SparkSession, d: str) -> DataFrame:
     return cat.aliases(table(spark, d, "attr_defs"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS name, CAST({bit} AS BIGINT) AS bit, '{text}' AS description" for k, (bit, text) in ses.DIRECTIVES.items()) + f" UNION ALL SELECT '*', CAST({sum(bit for bit, _ in ses.DIRECTIVES.values())} AS BIGINT), 'all'")
+@query(" UNION ALL ".join(f"SELECT '{k}' AS name, CAST({bit} AS BIGINT) AS bit, '{text.replace("'", "''")}' AS description" for k, (bit, text) in ses.DIRECTIVES.items()) + f" UNION ALL SELECT '*', CAST({sum(bit for bit, _ in ses.DIRECTIVES.values())} AS BIGINT), 'all'")
 def directive_listing(spark: SparkSession, d: str) -> DataFrame:
     """All statements with their capability bits, and all bits together"""
     own = spark.createDataFrame([(k, bit, text) for k, (bit, text) in ses.DIRECTIVES.items()], "name string, bit bigint, description string")

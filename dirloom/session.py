@@ -23,12 +23,24 @@ MESSAGES = {
     350: "Invalid Query Syntax", 351: "Query Too Complex", 352: "Invalid Security Method", 353: "Authentication Failed", 400: "Directive Not Available", 401: "Not Authorized for Directive",
     402: "Unidentified Error", 420: "Registration Not Authorized", 436: "Invalid Display Format", 503: "Idle Time Exceeded",
 }
-#: Fixed: the statements, their capability bits and what they do.
+#: The statements, their capability bits and their descriptions.
 DIRECTIVES = {
-    "class": (0x000001, "class definition"), "directive": (0x000002, "list of directives"), "display": (0x000004, "display format"), "forward": (0x000008, "query forwarding"), "holdconnect": (0x000010, "connection mode"),
-    "limit": (0x000020, "hit limit"), "notify": (0x000080, "notification"), "quit": (0x000100, "end of session"), "register": (0x000200, "registration"), "schema": (0x000400, "schema definition"),
-    "security": (0x000800, "credentials"), "soa": (0x001000, "start of authority"), "status": (0x002000, "session status"), "xfer": (0x004000, "data transfer"), "X": (0x008000, "extensions"),
-}
+    "class": (0x000001, "get meta-information for the class(es)"),
+    "directive": (0x000002, "get server allowable directives"),
+    "display": (0x000004, "sets/displays the display types"),
+    "forward": (0x000008, "server forward boolean"),
+    "holdconnect": (0x000010, "hold the connection boolean"),
+    "limit": (0x000020, "displays and sets record hit limit"),
+    "notify": (0x000040, "tell server of bad referral or data change"),
+    "quit": (0x000080, "quit connection"),
+    "register": (0x000100, "add/mod/delete record in server"),
+    "schema": (0x000200, "get the schema of an object"),
+    "security": (0x000400, "identify the authentication method"),
+    "soa": (0x000800, "ask server's authority area"),
+    "status": (0x001000, "server's status"),
+    "xfer": (0x002000, "transfer data from the server"),
+    "X": (0x004000, "extended directives"),
+}
 
 
 def message(code: int) -> str:
