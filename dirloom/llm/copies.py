@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 SEGMENT_BITS = 1 << 16  # positions of one hash lie in one segment, addressed by 16 bits each
 POSITIONS = 4
 #: Filter bits per record, and the most bits one broadcast filter may have (32 MB); above, the hashes are split into shards.
@@ -121,7 +123,8 @@ def possible_repeats(keyed: DataFrame, rows: int) -> DataFrame:
     for shard in range(shards):
         mine = hashed.where(F.col("_shard") == shard)
         partial = mine.where("key IS NOT NULL").select("_seg", "_h2").mapInArrow(_seen, "seg bigint, once binary, again binary")
-        merged = partial.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merged, "seg bigint, words array<bigint>")
+        # cut, for it is read more than once and Python stages are never shared
+        merged = cut(partial.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merged, "seg bigint, words array<bigint>"))
         # at most MOST_BITS bits in all
         tested = mine.join(F.broadcast(merged), F.col("_seg") == F.col("seg"), "left")
         hit = F.lit(True)
@@ -135,22 +138,30 @@ def possible_repeats(keyed: DataFrame, rows: int) -> DataFrame:
     return result
 
 
-def collapse(keyed: DataFrame, rows: int) -> DataFrame:
-    """(row_id, class_id, copies): each row with the smallest row_id of its copies and their number, itself included.
+def _grouped(marked: DataFrame, rows: int) -> DataFrame:
+    """(row_id, class_id, copies) of the possible repeats, grouped exactly.
 
-    Keys are compared by their SHA-256. Rows with null key are nobody's copy. Groups that hold a
-    thousandth of all rows or more are joined by broadcast, since there are at most a thousand
-    of them, so that no task gets all rows of a hot group.
+    They are cut to the shared folder once, the keys as SHA-256. Groups that hold a thousandth of
+    all rows or more are joined by broadcast, since there are at most a thousand of them, so that
+    no task gets all rows of a hot group.
     """
-    marked = possible_repeats(keyed, rows)
-    single = marked.where(~F.col("maybe")).select("row_id", F.col("row_id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
-    maybe = marked.where("maybe").select("row_id", F.unhex(F.sha2("key", 256)).alias("key"))
+    maybe = cut(marked.where("maybe").select("row_id", F.unhex(F.sha2("key", 256)).alias("key")))
     groups = maybe.groupBy("key").agg(F.min("row_id").alias("class_id"), F.count("*").alias("copies"))
     hot = groups.where(F.col("copies") >= max(1000.0, rows * HOT_SHARE))
     split = maybe.join(F.broadcast(hot), "key", "left")
     of_hot = split.where("copies IS NOT NULL").select("row_id", "class_id", "copies")
     cold = split.where("copies IS NULL").select("row_id", "key").join(groups, "key").select("row_id", "class_id", "copies")
-    return single.union(of_hot).union(cold)
+    return of_hot.union(cold)
+
+
+def collapse(keyed: DataFrame, rows: int) -> DataFrame:
+    """(row_id, class_id, copies): each row with the smallest row_id of its copies and their number, itself included.
+
+    Keys are compared by their SHA-256. Rows with null key are nobody's copy.
+    """
+    marked = possible_repeats(keyed, rows)
+    single = marked.where(~F.col("maybe")).select("row_id", F.col("row_id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
+    return single.union(_grouped(marked, rows))
 
 
 def copies(records: DataFrame, defs: DataFrame) -> DataFrame:
@@ -165,4 +176,6 @@ def copies(records: DataFrame, defs: DataFrame) -> DataFrame:
 
 def copy_pairs(records: DataFrame, defs: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b): each further copy beside the first of its copies."""
-    return copies(records, defs).where("row_id != class_id").select(F.col("class_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
+    rows = records.count()
+    found = _grouped(possible_repeats(record_key(records, defs), rows), rows)
+    return found.where("row_id != class_id").select(F.col("class_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
