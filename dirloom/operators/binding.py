@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import ANONYMOUS
 from ..functions.norm import ascii_upper, is_truthy, name_key, trim_blanks
 from ..runtime import bounded
-from .wide import name_table
+from .wide import ALIASES, name_table
 
 RECORD = "rid string, auth_area string, class_name string, av array<struct<pos:int,attr_id:int,attr:string,value:string>>"
 
@@ -35,7 +35,7 @@ def bind(pairs: DataFrame, defs: DataFrame) -> DataFrame:
     ids = attribute_ids(defs)
     known = ids.select("class").distinct()
     heads = heads.join(bounded(known, by=defs), "class", "leftsemi")
-    typed = said.join(heads, "rid").join(bounded(ids, by=defs), ["class", "name"])
+    typed = said.join(heads, "rid").join(bounded(ids, by=defs, times=ALIASES), ["class", "name"])
     av = F.array_sort(F.collect_set(F.struct(F.col("pos").cast("int").alias("pos"), F.col("attr_id").cast("int").alias("attr_id"), F.col("attr").alias("attr"), F.col("value").alias("value"))))
     rows = typed.groupBy("rid", "class", "auth_area").agg(av.alias("av"))
     return rows.select("rid", "auth_area", F.col("class").alias("class_name"), with_heads(F.col("av"), F.col("auth_area"), F.col("class")).alias("av"))
@@ -83,3 +83,15 @@ def is_private(av: Column) -> Column:
 def same_values(a: Column, b: Column) -> Column:
     """Whether two records have a value each for an attribute, equal whatever the ASCII case, and not empty."""
     return F.coalesce((a != "") & (ascii_upper(a) == ascii_upper(b)), F.lit(False))
+
+
+def with_value(av: Column, attr_id: int, attr: str, value: Column) -> Column:
+    """The array with one more value behind all others; a null or empty value adds nothing."""
+    last = F.coalesce(F.array_max(F.transform(av, lambda x: x["pos"])), F.lit(-1))
+    more = F.array(F.struct((last + 1).cast("int").alias("pos"), F.lit(attr_id).alias("attr_id"), F.lit(attr).alias("attr"), value.alias("value")))
+    return F.when(F.coalesce(value != "", F.lit(False)), F.concat(av, more)).otherwise(av)
+
+
+def without_attribute(av: Column, attr_id: int) -> Column:
+    """The array without any value of an attribute."""
+    return F.filter(av, lambda x: x["attr_id"] != attr_id)

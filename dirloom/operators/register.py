@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,3 +118,35 @@ def same_attribute(a: DataFrame, b: DataFrame, attr_id: int, key: str = "rid") -
     """Keys of both frames whose records have an equal, non-empty value of an attribute, whatever the case."""
     left = a.select(key, ascii_upper(value_of(F.col("av"), attr_id)).alias("_v")).where("_v != ''")
     return left.join(b.select(key, ascii_upper(value_of(F.col("av"), attr_id)).alias("_v")), [key, "_v"]).select(key).distinct()
+
+
+def result_lines(adds: DataFrame) -> DataFrame:
+    """(id, line): what an add is answered with, its new ID and its Updated."""
+    return adds.select("id", F.explode(F.array(F.concat_ws(":", F.lit("ID"), "id"), F.concat_ws(":", F.lit("Updated"), "updated"))).alias("line"))
+
+
+def parsed_by(records: DataFrame, programs: Mapping[str, Callable[[list[tuple[str, str]]], list[tuple[str, str]] | None]]) -> DataFrame:
+    """(rid, class_name, av) after each class's own program rewrote the record's (attribute, value) list; None refuses the record.
+
+    Programs are Python functions that executors can import or unpickle; records of classes
+    without one pass as they are. Attributes a program adds have no id.
+    """
+    shape = "rid string, class_name string, av array<struct<pos:int,attr_id:int,attr:string,value:string>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rid, cls, av in b.itertuples(index=False):
+                program = programs.get(cls)
+                if program is None or av is None:
+                    out.append((rid, cls, av))
+                    continue
+                ids = {x["attr"]: x["attr_id"] for x in av}
+                new = program([(x["attr"], x["value"]) for x in av])
+                if new is not None:
+                    out.append((rid, cls, [{"pos": i, "attr_id": ids.get(a), "attr": a, "value": v} for i, (a, v) in enumerate(new)]))
+            yield pd.DataFrame(out, columns=["rid", "class_name", "av"])
+
+    chosen = records.select("rid", "class_name", "av")
+    touched = F.coalesce(F.col("class_name").isin(*programs), F.lit(False)) if programs else F.lit(False)
+    return chosen.where(~touched).select("rid", "class_name", F.col("av").cast("array<struct<pos:int,attr_id:int,attr:string,value:string>>").alias("av")).union(chosen.where(touched).mapInPandas(run, shape))

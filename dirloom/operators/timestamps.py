@@ -26,6 +26,8 @@ LONG_MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "
 DAY_US, QUARTER_US, MIN_US = 86_400_000_000, 900_000_000, 60_000_000
 #: Zone-less stamps count if receipt is nearer than this to their local time: a day and the widest offset.
 NEAR_MIN = (24 + 14) * 60
+#: More zones than there are.
+ZONES = 1000
 #: Likely histories for sources without a declared zone, besides those other sources declare.
 CANDIDATE_ZONES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Helsinki", "Europe/Moscow", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney", "Pacific/Auckland", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Sao_Paulo")
 
@@ -227,8 +229,8 @@ def estimate_zones(parsed: DataFrame, sources: DataFrame, source: str = "auth_ar
     wide = own.where("tz_name IS NULL").select(source, "tz_name", F.explode(rest.scalar()).alias("c"))
     tried = short.union(wide).groupBy(source, "tz_name", F.col("c.zone").alias("zone")).agg(F.min("c.o").alias("o"))
 
-    tried = tried.join(known, "zone")
-    laid = seen.join(bounded(tried, by=sources), source)
+    # a source tries the likely zones, at most all there are
+    laid = seen.join(bounded(tried, by=sources, times=ZONES), source).join(known, "zone")
     start = F.col("quarter") * QUARTER_US
     has = ((start - _to_utc(start, F.col("zone"))) / MIN_US).cast("bigint")
     wrong = F.when(F.col("off").isNotNull(), ~_holds(start, F.col("off"), F.col("zone"))).when(F.col("abbr").isNotNull(), F.size(_abbreviated(start, F.col("abbr"), F.col("zone"))) == 0).otherwise(F.col("margin") + has < -slack_minutes)

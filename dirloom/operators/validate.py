@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Attribute, Catalog, fold
 from ..functions.norm import ascii_upper
-from ..functions.shapes import java_pattern
+from ..functions.shapes import hierarchical, java_pattern, within_area
 from ..query.search import exact_key
 from ..runtime import bounded
 
@@ -116,3 +116,35 @@ def soa_faults(areas: DataFrame) -> DataFrame:
     tests = {"refresh": zero("refresh_interval"), "increment": zero("increment_interval"), "retry": zero("retry_interval"), "ttl": zero("time_to_live"), "serial": ~F.coalesce(F.col("serial_no").rlike(SERIAL), F.lit(False)), "hostmaster": ~F.coalesce(F.col("hostmaster").rlike(EMAIL), F.lit(False)), "primary": ~F.coalesce(F.col("primary_server").rlike(r"^[A-Za-z0-9.-]+:[0-9]+$"), F.lit(False)), "name": ~area_name_is_sound(F.col("auth_area"))}
     found = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
     return areas.select("auth_area", F.explode(found).alias("fault"))
+
+
+def referral_faults(records: DataFrame, key: str = "rid", referred: int = 42) -> DataFrame:
+    """(key, referred): referrals whose delegated name does not lie in the area of the record itself."""
+    named = records.where("lower(class_name) = 'referral'").select(key, "auth_area", F.explode(F.filter("av", lambda x: x["attr_id"] == referred)).alias("x"))
+    named = named.select(key, "auth_area", F.col("x.value").alias("referred")).withColumn("_h", hierarchical("referred"))
+    return named.where(~within_area(F.col("_h.kind"), F.col("_h.value"), "auth_area")).select(key, "referred")
+
+
+def is_name(c: Column) -> Column:
+    """Whether a text can name a class or an attribute."""
+    return F.coalesce(c.rlike(IDENTIFIER), F.lit(False))
+
+
+def is_host_name(c: Column) -> Column:
+    return F.coalesce(c.rlike(HOST), F.lit(False))
+
+
+def is_port(c: Column) -> Column:
+    """Whether a text is a port number."""
+    return F.coalesce(c.rlike("^[0-9]{1,5}$") & c.try_cast("int").between(1, 65535), F.lit(False))
+
+
+def is_serial(c: Column) -> Column:
+    """Whether a text is a serial: 17 digits that begin with a real date and time."""
+    at = F.concat(F.substr(c, F.lit(1), F.lit(4)), F.lit("-"), F.substr(c, F.lit(5), F.lit(2)), F.lit("-"), F.substr(c, F.lit(7), F.lit(2)), F.lit(" "), F.substr(c, F.lit(9), F.lit(2)), F.lit(":"), F.substr(c, F.lit(11), F.lit(2)), F.lit(":"), F.substr(c, F.lit(13), F.lit(2)))
+    return F.coalesce(c.rlike(SERIAL) & at.try_cast("timestamp").isNotNull(), F.lit(False))
+
+
+def is_path(c: Column) -> Column:
+    """Whether a text can be a path: not empty, without control characters, and no step up."""
+    return F.coalesce((c != "") & ~c.rlike(r"[\x00-\x1F\x7F]") & ~c.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))

@@ -195,7 +195,7 @@ class Drift:
         Blank values are left out; a value that does not have its attribute's type stays in
         ``value`` and is null in the typed column.
         """
-        named = self.said().where("v IS NOT NULL").join(bounded(self.columns(), by=self.files), ["db_dir", "ver", "name"])
+        named = self.said().where("v IS NOT NULL").join(self.columns(), ["db_dir", "ver", "name"])
         cast = {k: F.when((F.col("type") == k) & F.col("v").rlike(p), typed(F.col("v"), k)).alias(f"value_{k}") for k, p in FORMS.items()}
         return named.select("db_dir", F.col("ver").alias("class_version"), "rid", "pos", "attr", "type", F.col("v").alias("value"), *cast.values())
 

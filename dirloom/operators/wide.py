@@ -18,6 +18,8 @@ from ..runtime import bounded, written
 
 #: A signature gets a table of its own if at least this share of its class's entities has it, so a class has at most 1 / OWN_SHARE of them.
 OWN_SHARE = 0.05
+#: Names of one attribute that are reckoned with when a table of names is broadcast.
+ALIASES = 16
 _DAY = r"\A([0-9]{4})([-/]?)([0-9]{2})\2([0-9]{2})\z"
 
 
@@ -53,11 +55,11 @@ def cells(pairs: DataFrame, defs: DataFrame) -> DataFrame:
     names = name_table(defs)
     heads = names.where("lower(attr_name) = 'class-name'").select("class", F.col("name").alias("_h"))
     spoken = names.select("name").distinct()
-    said = pairs.select("rid", name_key("attr_name").alias("name"), trim_blanks("value").alias("v"), "pos").where("v != '' AND rid IS NOT NULL").join(bounded(spoken, by=defs), "name")
+    said = pairs.select("rid", name_key("attr_name").alias("name"), trim_blanks("value").alias("v"), "pos").where("v != '' AND rid IS NOT NULL").join(bounded(spoken, by=defs, times=ALIASES), "name")
     distinct = said.groupBy("rid", "name", "v").agg(F.min("pos").alias("pos"))
-    as_class = said.join(bounded(heads.select(F.col("_h").alias("name")).distinct(), by=defs), "name", "leftsemi").select("rid", "name", F.lower("v").alias("class"))
-    classes = as_class.join(bounded(heads, by=defs), (as_class["class"] == heads["class"]) & (as_class["name"] == heads["_h"]), "leftsemi").select("rid", "class").distinct()
-    of = distinct.join(classes, "rid").join(bounded(names, by=defs), ["class", "name"])
+    as_class = said.join(bounded(heads.select(F.col("_h").alias("name")).distinct(), by=defs, times=ALIASES), "name", "leftsemi").select("rid", "name", F.lower("v").alias("class"))
+    classes = as_class.join(bounded(heads, by=defs, times=ALIASES), (as_class["class"] == heads["class"]) & (as_class["name"] == heads["_h"]), "leftsemi").select("rid", "class").distinct()
+    of = distinct.join(classes, "rid").join(bounded(names, by=defs, times=ALIASES), ["class", "name"])
     ok = converts(F.col("v"), F.col("value_kind"))
     kept = F.array_sort(F.collect_list(F.when(ok, F.struct("pos", "v"))))
     found = of.groupBy("rid", "class", "attr_name").agg(kept.alias("kept"))

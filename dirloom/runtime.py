@@ -21,14 +21,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES, by: DataFrame | None = None) -> DataFrame:
+def bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES, by: DataFrame | None = None, times: int = 1) -> DataFrame:
     """``df`` marked for broadcast if the plan's own statistics prove it small; no job is run.
 
-    ``by`` is a frame that has at least as many rows, when ``df`` itself comes from an
-    aggregation whose statistics say nothing. A larger side is returned unmarked: the join is
-    then shuffled, and AQE splits its hot keys.
+    ``by`` is a frame of whose rows ``df`` has at most ``times`` as many, of no more bytes each,
+    when ``df`` itself comes from an operation whose statistics say nothing. A larger side is
+    returned unmarked: the join is then shuffled, and AQE splits its hot keys.
     """
-    return F.broadcast(df) if plan_bytes(df if by is None else by) <= max_bytes else df
+    size = plan_bytes(df) if by is None else plan_bytes(by) * times
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,6 +16,7 @@ from .query.lang import QueryError, check, parse
 from .query.search import DEFAULT_LIMIT, LIMIT_CEILING, allowed_limit, search
 from .runtime import table
 
+log = logging.getLogger("dirloom")
 #: Fixed protocol texts by code.
 MESSAGES = {
     120: "Registration Deferred", 130: "Object not authoritative", 230: "No Objects Found", 300: "Not Compatible With Version", 320: "Invalid Attribute", 321: "Invalid Attribute Syntax",
@@ -126,6 +128,7 @@ class Session:
             seen = access.permissions(first, self.defs, self.settings.who)
             return Answer(access.visible(seen, self.defs).orderBy(*order), hits.status(self.settings.limit))
         except QueryError as e:
+            log.info("%s: %s", line, e)
             return Answer(None, self.code(e.code))
 
     def _directive(self, text: str) -> Answer:

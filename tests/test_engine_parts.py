@@ -279,3 +279,42 @@ def test_schema_rules():
     assert bigger is CATALOG and len(CATALOG.with_attribute(Attribute("thing", 11, "New")).attributes) == 2
     assert CATALOG.with_area(Area("A.com")) is CATALOG and CATALOG.with_area(Area("A.com", "slave")).find_area("a.com") and CATALOG.without_area("A.COM").find_area("a.com") is None
     assert CATALOG.by_id("thing", 10) == a and CATALOG.is_base("ttl") and CATALOG.without_class("thing").classes == ()
+
+
+def shouted(pairs):
+    """A class's program: refuses records without Name, else shouts."""
+    return [(a, v.upper()) for a, v in pairs] + [("New", "1")] if any(a == "Name" for a, _ in pairs) else None
+
+
+def test_record_upkeep(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("r", "a", [(0, 7, "Name", "ann"), (3, 8, "Mail", "x")]), ("s", "a", [(0, 8, "Mail", "y")]), ("t", "b", [(0, 8, "Mail", "z")]), ("u", None, None)], f"rid string, class_name string, av {AV}")
+    more = {r.rid: r.av for r in df.select("rid", binding.with_value(F.col("av"), 9, "Type", F.lit("I")).alias("av")).collect()}
+    assert [tuple(x) for x in more["r"]][-1] == (4, 9, "Type", "I") and len(more["s"]) == 2 and more["u"] is None
+    assert len(df.select(binding.with_value(F.col("av"), 9, "Type", F.lit("")).alias("av")).first().av) == 2
+    assert [x.attr for x in df.select(binding.without_attribute(F.col("av"), 8).alias("av")).first().av] == ["Name"]
+    got = {r.rid: r.av and [(x.attr_id, x.attr, x.value) for x in r.av] for r in register.parsed_by(df, {"a": shouted}).collect()}
+    assert got == {"r": [(7, "Name", "ANN"), (8, "Mail", "X"), (None, "New", "1")], "t": [(8, "Mail", "z")], "u": None}
+    adds = spark.createDataFrame([("1.a", "20200101000000000")], "id string, updated string")
+    assert [r.line for r in register.result_lines(adds).collect()] == ["ID:1.a", "Updated:20200101000000000"]
+
+
+def test_forms(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a-b", "h.x", "4321", "20200229010203004", "a/b"), ("-a", "-h", "0", "20210229010203004", "../b"), (None, None, None, None, None), ("", "", "70000", "2020", "a/../b")], "n string, h string, p string, s string, f string")
+    got = df.select(validate.is_name(F.col("n")), validate.is_host_name(F.col("h")), validate.is_port(F.col("p")), validate.is_serial(F.col("s")), validate.is_path(F.col("f"))).collect()
+    assert [tuple(r) for r in got] == [(True,) * 5] + [(False,) * 5] * 3
+    referrals = spark.createDataFrame([("1", "a.com", "referral", [(0, 42, "R", "x.a.com"), (1, 42, "R", "b.com")]), ("2", "10.0.0.0/8", "referral", [(0, 42, "R", "10.1.0.0/16"), (1, 42, "R", "11.0.0.0/8")]), ("3", "a.com", "host", [(0, 42, "R", "b.com")])], f"rid string, auth_area string, class_name string, av {AV}")
+    assert {tuple(r) for r in validate.referral_faults(referrals).collect()} == {("1", "b.com"), ("2", "11.0.0.0/8")}
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from dirloom.__main__ import main
+
+    assert main(["search", sf, "contact Last-Name=no-such"]) == 0 and main(["search", sf, "-soa soldor.example.org"]) == 0
+    out = capsys.readouterr().out
+    assert "%error 230 No Objects Found" in out and "soldor.example.org:authority:soldor.example.org" in out
+    assert main(["index", sf, f"{tmp_path}/i", "--kinds", "EXACT", "--files", "2"]) == 0 and spark.read.parquet(f"{tmp_path}/i").count() > 0
+    assert main(["query", sf, "status_objects"]) == 0
