@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.norm import name_key, trim_blanks
-from ..runtime import bounded, cut
+from ..runtime import bounded, counted, cut
 from .wide import typed
 
 #: Fixed forms of the types; a type needs nine tenths of the values.
@@ -118,40 +118,54 @@ class Drift:
         self.files = files.select("file_no", "db_dir", ver).where("db_dir IS NOT NULL AND ver IS NOT NULL")
         self.pairs = pairs
         steps = self.files.select("db_dir", "ver").distinct().withColumn("next", F.lead("ver").over(Window.partitionBy("db_dir").orderBy("ver")))
-        self.steps = cut(steps.where("next IS NOT NULL").withColumnRenamed("ver", "prev"))
-        said = self.said().select("db_dir", "ver", "rid", "name", "v", "pos")
-        has = lambda p: F.sum(F.when(F.col("v").rlike(p), F.col("n")).otherwise(0))
-        # equal values of a record are one before anything else is done with them
-        values = said.groupBy("db_dir", "ver", "rid", "name", "v").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-        digest = F.struct(F.min("v"), F.max("v"), F.count("v"), F.bit_xor(F.xxhash64("v")), F.sum(F.xxhash64("v", F.lit("+")).cast("decimal(20,0)")))
-        held = values.groupBy("db_dir", "ver", "rid", "name").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("n"), *[has(p).alias(k) for k, p in FORMS.items()], F.min("pos").alias("pos"), F.to_json(digest).alias("set"))
-        self.held = cut(held)
-        kind = _kind(F.sum("n"), **{k: F.sum(k) for k in FORMS})
-        self.attrs = cut(self.held.groupBy("db_dir", "ver", "name").agg(kind.alias("kind"), F.avg("pos").alias("place")))
+        self.steps = cut(steps.where("next IS NOT NULL").withColumnRenamed("ver", "prev").withColumn("step", F.monotonically_increasing_id()))
+        self.attrs = cut(self._attributes())
         old = self.steps.join(self.attrs.withColumnRenamed("ver", "prev"), ["db_dir", "prev"])
         new = self.steps.join(self.attrs.withColumnRenamed("ver", "next"), ["db_dir", "next"])
         self.old, self.new = old, new
-        both = old.select("db_dir", "next", "prev", "name", F.col("kind").alias("was"), F.lit(True).alias("o")).join(new.select("db_dir", "next", "prev", "name", F.col("kind").alias("now"), F.lit(True).alias("n")), ["db_dir", "next", "prev", "name"], "full")
+        key = ["step", "db_dir", "next", "prev", "name"]
+        both = old.select(*key, F.col("kind").alias("was"), F.lit(True).alias("o")).join(new.select(*key, F.col("kind").alias("now"), F.lit(True).alias("n")), key, "full")
         self.both = cut(both)
         self.agreement = cut(self._agreement())
         self.renamed = cut(self._renamed())
 
+    def _named(self, *columns: str) -> DataFrame:
+        """Pairs with a name: file_no, name, v (null if blank) and further columns."""
+        return self.pairs.select("file_no", name_key("attr_name").alias("name"), F.nullif(trim_blanks("value"), F.lit("")).alias("v"), *columns).where("name IS NOT NULL")
+
+    def _attributes(self) -> DataFrame:
+        """(db_dir, ver, name, kind, place), summed up per file before anything is joined."""
+        has = lambda p: F.count_if(F.col("v").rlike(p))
+        per_file = self._named("pos").groupBy("file_no", "name").agg(F.count("v").alias("n"), *[has(p).alias(k) for k, p in FORMS.items()], F.sum("pos").alias("pos"), F.count("pos").alias("of"))
+        place = F.try_divide(F.sum("pos"), F.sum("of")).cast("double")
+        kind = _kind(F.sum("n"), **{k: F.sum(k) for k in FORMS})
+        return per_file.join(bounded(self.files), "file_no").groupBy("db_dir", "ver", "name").agg(kind.alias("kind"), place.alias("place"))
+
     def said(self) -> DataFrame:
         """All named pairs with their db_dir and version; a blank value is null."""
-        own = self.pairs.join(bounded(self.files), "file_no")
-        return own.select("db_dir", "ver", "rid", "pos", name_key("attr_name").alias("name"), F.nullif(trim_blanks("value"), F.lit("")).alias("v")).where("name IS NOT NULL")
+        return self._named("rid", "pos").join(bounded(self.files), "file_no").drop("file_no")
 
     def _agreement(self) -> DataFrame:
-        """(db_dir, next, old, new, k, n): of n records of both versions with a value under old, k have the same under new."""
-        gone = self.both.where("n IS NULL").select("db_dir", "next", F.col("prev").alias("ver"), "name")
-        came = self.both.where("o IS NULL").select("db_dir", "next", "name")
-        some = self.held.where("n > 0 AND rid IS NOT NULL")
-        rids = self.held.where("rid IS NOT NULL").select("db_dir", F.col("ver").alias("next"), "rid").distinct()
-        before = some.join(gone, ["db_dir", "ver", "name"]).select("db_dir", "next", "rid", F.col("name").alias("old"), "set").join(rids, ["db_dir", "next", "rid"], "leftsemi")
-        after = some.select("db_dir", F.col("ver").alias("next"), "rid", F.col("name").alias("new"), "set").join(came.withColumnRenamed("name", "new"), ["db_dir", "next", "new"])
-        total = before.groupBy("db_dir", "next", "old").agg(F.count("*").alias("n"))
-        same = before.join(after, ["db_dir", "next", "rid", "set"]).groupBy("db_dir", "next", "old", "new").agg(F.count("*").alias("k"))
-        return same.join(total, ["db_dir", "next", "old"])
+        """(db_dir, next, old, new, k, n): of n records of both versions with a value under old, k have the same under new.
+
+        Only values under names that went or came are gathered, as a digest per record and name,
+        and only where a version lost a name and gained another.
+        """
+        gone = self.both.where("n IS NULL").select("step", "db_dir", F.col("prev").alias("ver"), "name", F.lit("old").alias("side"))
+        came = self.both.where("o IS NULL").select("step", "db_dir", F.col("next").alias("ver"), "name", F.lit("new").alias("side"))
+        torn = gone.select("step").intersect(came.select("step"))
+        names = cut(gone.union(came).join(torn, "step", "leftsemi").join(self.files, ["db_dir", "ver"]).select("file_no", "name", "step", "side"))
+        values = self._named("rid").where("v IS NOT NULL AND rid IS NOT NULL").join(counted(names), ["file_no", "name"]).select("step", "side", "rid", "name", "v").distinct()
+        h = F.xxhash64("v")
+        digest = values.groupBy("step", "side", "rid", "name").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64("v", F.lit("+")).cast("decimal(20,0)")).alias("s"))
+        digest = cut(digest)
+        old, new = digest.where("side = 'old'").withColumnRenamed("name", "old"), digest.where("side = 'new'").withColumnRenamed("name", "new")
+        later = cut(self.steps.join(torn, "step", "leftsemi").select("step", "db_dir", F.col("next").alias("ver")).join(self.files, ["db_dir", "ver"]).select("file_no", "step"))
+        rids = self.pairs.where("rid IS NOT NULL AND attr_name IS NOT NULL").select("file_no", "rid").distinct().join(counted(later), "file_no").select("step", "rid").distinct()
+        before = old.join(rids, ["step", "rid"], "leftsemi")
+        total = before.groupBy("step", "old").agg(F.count("*").alias("n"))
+        same = before.join(new, ["step", "rid", "least", "most", "size", "x", "s"]).groupBy("step", "old", "new").agg(F.count("*").alias("k"))
+        return same.join(total, ["step", "old"]).join(self.steps, "step").select("db_dir", "next", "old", "new", "k", "n")
 
     def candidates(self) -> DataFrame:
         """(db_dir, next, old, new, score, rounds): correspondences that the flooding selects between names of one version only."""

@@ -60,3 +60,8 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     w = df.write
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A frame that was cut, marked for broadcast if it has no more than ``max_rows`` rows, which are read from the cut to be counted. Its rows must be short."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
