@@ -126,6 +126,8 @@ class Drift:
         key = ["step", "db_dir", "next", "prev", "name"]
         both = old.select(*key, F.col("kind").alias("was"), F.lit(True).alias("o")).join(new.select(*key, F.col("kind").alias("now"), F.lit(True).alias("n")), key, "full")
         self.both = cut(both)
+        # steps in which names went and others came; in all others there is nothing to match
+        self.torn = cut(both_sides(self.both))
         self.agreement = cut(self._agreement())
         self.renamed = cut(self._renamed())
 
@@ -153,7 +155,7 @@ class Drift:
         """
         gone = self.both.where("n IS NULL").select("step", "db_dir", F.col("prev").alias("ver"), "name", F.lit("old").alias("side"))
         came = self.both.where("o IS NULL").select("step", "db_dir", F.col("next").alias("ver"), "name", F.lit("new").alias("side"))
-        torn = gone.select("step").intersect(came.select("step"))
+        torn = self.torn
         names = cut(gone.union(came).join(torn, "step", "leftsemi").join(self.files, ["db_dir", "ver"]).select("file_no", "name", "step", "side"))
         values = self._named("rid").where("v IS NOT NULL AND rid IS NOT NULL").join(counted(names), ["file_no", "name"]).select("step", "side", "rid", "name", "v").distinct()
         h = F.xxhash64("v")
@@ -168,11 +170,16 @@ class Drift:
         return same.join(total, ["step", "old"]).join(self.steps, "step").select("db_dir", "next", "old", "new", "k", "n")
 
     def candidates(self) -> DataFrame:
-        """(db_dir, next, old, new, score, rounds): correspondences that the flooding selects between names of one version only."""
+        """(db_dir, next, old, new, score, rounds): correspondences that the flooding selects between names of one version only.
+
+        Each step is a group; they are spread over as many tasks as a shuffle has, since they are
+        small in bytes but not in work.
+        """
         null = F.lit(None)
-        sides = [d.select("db_dir", "next", F.lit(side).alias("side"), "name", null.cast("string").alias("other"), null.cast("double").alias("share"), F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("place", F.lit(0.0)).alias("place")) for side, d in (("old", self.old), ("new", self.new))]
+        sides = [d.select("db_dir", "next", F.lit(side).alias("side"), "name", null.cast("string").alias("other"), null.cast("double").alias("share"), F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("place", F.lit(0.0)).alias("place")) for side, d in (("old", self.old), ("new", self.new)) for d in (d.join(self.torn, "step", "leftsemi"),)]
         agreed = self.agreement.select("db_dir", "next", F.lit("both").alias("side"), F.col("old").alias("name"), F.col("new").alias("other"), (F.col("k") / F.col("n")).alias("share"), null.cast("string").alias("kind"), null.cast("double").alias("place"))
-        return sides[0].union(sides[1]).union(agreed).groupBy("db_dir", "next").applyInPandas(_match, "db_dir string, next string, old string, new string, score double, rounds int")
+        tasks = int(self.pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return sides[0].union(sides[1]).union(agreed).repartition(tasks, "db_dir", "next").groupBy("db_dir", "next").applyInPandas(_match, "db_dir string, next string, old string, new string, score double, rounds int")
 
     def _renamed(self) -> DataFrame:
         """Candidates whose values agree in at least four fifths of the records."""
@@ -214,6 +221,11 @@ class Drift:
         return named.select("db_dir", F.col("ver").alias("class_version"), "rid", "pos", "attr", "type", F.col("v").alias("value"), *cast.values())
 
 
+def both_sides(both: DataFrame) -> DataFrame:
+    """(step) of the steps that have a name of either version only."""
+    return both.groupBy("step").agg(F.max(F.col("n").isNull()).alias("g"), F.max(F.col("o").isNull()).alias("c")).where("g AND c").select("step")
+
+
 def _one_name(group: pd.DataFrame) -> pd.DataFrame:
     """Names of one db_dir carried from version to version; backwards, so that the latest name is the attribute's."""
     nodes, links = group[group["new"].isna()], group[group["new"].notna()]
