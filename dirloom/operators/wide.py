@@ -107,7 +107,7 @@ def wide_tables(pairs: DataFrame, defs: DataFrame, own_share: float = OWN_SHARE)
     """
     layout = _layout(defs)
     keyed = entities(pairs, defs)
-    stored = written(keyed.repartition("class", F.pmod(F.xxhash64("rid"), F.lit(16))), "class")
+    stored = written(keyed, "class")
     counts = stored.groupBy("class", "sig").agg(F.count("*").alias("n"))
     totals = counts.groupBy("class").agg(F.sum("n").alias("all"))
     frequent: dict[str, list[str]] = {}
