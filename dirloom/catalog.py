@@ -22,7 +22,7 @@ _FOLD = str.maketrans(string.ascii_lowercase, string.ascii_uppercase)
 BASE = ("Class-Name", "ID", "Auth-Area", "Updated", "Guardian", "Private", "TTL")
 #: Fixed aliases under which an untyped record names its area, class and version.
 ANONYMOUS = {"Auth-Area": ("AUTH-AREA", "AA"), "Class-Name": ("CLASS-NAME", "CN", "SCHEMA-NAME", "OBJECT-TYPE"), "Updated": ("UPDATED", "UP")}
-#: Most declared attributes a catalog may have; a larger one is no catalog.
+#: Most declared attributes, or areas, a catalog may have; a larger one is no catalog.
 MOST_ATTRIBUTES = 1_000_000
 
 
@@ -137,14 +137,20 @@ class Catalog:
         return Catalog(self.attributes, tuple(a for a in self.areas if fold(a.name) != fold(name)), self.class_aliases)
 
 
-def from_tables(areas: DataFrame, defs: DataFrame, class_aliases: Mapping[str, str] | None = None) -> Catalog:
-    """The catalog of two tables in the shape of ``auth_areas`` and ``attr_defs``; nulls are the defaults."""
-    rows = defs.where("class_name IS NOT NULL AND attr_id IS NOT NULL AND attr_name IS NOT NULL").orderBy("class_name", "local_id", "attr_id").limit(MOST_ATTRIBUTES + 1).collect()
+def from_tables(areas: DataFrame | None, defs: DataFrame, class_aliases: Mapping[str, str] | None = None) -> Catalog:
+    """The catalog of two tables in the shape of ``auth_areas`` and ``attr_defs``; nulls are the defaults. Searches need no areas."""
+    rows = defs.where("class_name IS NOT NULL AND attr_id IS NOT NULL AND attr_name IS NOT NULL").limit(MOST_ATTRIBUTES + 1).collect()
     if len(rows) > MOST_ATTRIBUTES:
         raise ValueError("too many declared attributes for a catalog")
+    rows.sort(key=lambda r: (r.class_name, r.local_id if r.local_id is not None else r.attr_id, r.attr_id))
     flags = ("is_primary_key", "is_required", "is_repeatable", "is_multi_line", "is_hierarchical", "is_private")
     attributes = tuple(Attribute(r.class_name, r.attr_id, r.attr_name, tuple(r.aliases or ()), r.index_kind or "NONE", r.attr_type or "TEXT", **{f: bool(r[f]) for f in flags}) for r in rows)
-    own = areas.where("auth_area IS NOT NULL").select("auth_area", "area_type", "serial_no").orderBy("auth_area").limit(MOST_ATTRIBUTES).collect()
+    if areas is None:
+        return Catalog(attributes, (), dict(class_aliases or {}))
+    own = areas.where("auth_area IS NOT NULL").select("auth_area", "area_type", "serial_no").limit(MOST_ATTRIBUTES + 1).collect()
+    if len(own) > MOST_ATTRIBUTES:
+        raise ValueError("too many areas for a catalog")
+    own.sort(key=lambda r: r.auth_area)
     return Catalog(attributes, tuple(Area(r.auth_area, r.area_type or "master", r.serial_no) for r in own), dict(class_aliases or {}))
 
 

@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _hits(spark: SparkSession, d: str, line: str, substring: bool = False, area: str | None = None) -> search.Hits:
-    catalog = cat.load(spark, d, ALIASES)
+    catalog = cat.from_tables(None, table(spark, d, "attr_defs"), ALIASES)
     parsed = lang.parse(line, catalog)
     lang.check(parsed, substring=substring)
     return search.search(table(spark, d, "records"), catalog, parsed, area)
