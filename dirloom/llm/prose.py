@@ -212,6 +212,7 @@ def lines(text: Text, idiom: Idiom) -> pd.DataFrame:
     ends = np.isin(np.where(closing, last2, last), [ord(c) for c in ".?!"])
     before_end = kind[(text.end - 2).clip(0)] if len(text.end) else np.zeros(0, np.uint8)
     ends &= np.isin(before_end, (_LOWER, _UPPER, _DIGIT)) & ((text.end - text.start) > 2)
+    ends &= ~np.isin(text.start, fs[bullet & ~alone_in_line])  # the number of a list item ends nothing
     letters = np.r_[0, np.cumsum((kind == _LOWER) | (kind == _UPPER))]
     plain = (letters[text.end] - letters[text.start]) >= np.maximum(1, text.end - text.start - 1)
 
