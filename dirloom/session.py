@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from . import catalog as cat
 from .functions.shapes import split_arguments
 from .operators import access, binding, export
+from .operators.validate import EMAIL
 from .query.lang import QueryError, check, parse
 from .query.search import DEFAULT_LIMIT, LIMIT_CEILING, allowed_limit, search
 from .runtime import table
@@ -99,6 +101,8 @@ class Session:
     extensions: dict[str, Callable[[Session, list[str]], DataFrame]] = field(default_factory=dict)
     notices: list[tuple[str, str]] = field(default_factory=list)
     class_aliases: dict[str, str] = field(default_factory=dict)
+    #: A registration that is being spooled: action, sender, lines.
+    pending: tuple[str, str, list[str]] | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str) -> Session:
@@ -115,7 +119,10 @@ class Session:
         return self.spark.range(1).select(F.lit(code).alias("code"))
 
     def run(self, line: str) -> Answer:
-        """Answers a line: a statement if it begins with a minus, else a query."""
+        """Answers a line: a statement if it begins with a minus, else a query; while a registration is open, a line of it."""
+        if self.pending and not line.lower().startswith("-register"):
+            self.pending[2].append(line)
+            return Answer(None, self.code(0))
         try:
             if line.startswith("-"):
                 return self._directive(line[1:])
@@ -233,7 +240,26 @@ class Session:
         return Answer(None, self.code(0))
 
     def _do_register(self, args: list[str]) -> Answer:
-        raise QueryError(400, "registrations are change rows, see operators.changes and operators.register")
+        """``on ACTION SENDER`` opens a registration, ``off`` closes it and answers with it as a row of changes: action, reg_email, payload.
+
+        Such rows, once they have their numbers and times, are what ``operators.changes`` replays.
+        """
+        words = [a.lower() for a in args]
+        if words[:1] == ["on"] and len(args) == 3 and words[1] in ("add", "mod", "del") and not self.pending:
+            if not re.fullmatch(EMAIL, args[2]):
+                raise QueryError(338, "Invalid Directive Syntax")
+            self.pending = (words[1], args[2], [])
+            return Answer(None, self.code(0))
+        if words == ["off"] and self.pending:
+            (action, sender, lines), self.pending = self.pending, None
+            marked = any(x.strip().upper() == "_NEW_" for x in lines)
+            # an add is one record; a mod has the old one's name before the new one
+            if not lines or (action == "add" and marked):
+                raise QueryError(338, "Invalid Directive Syntax")
+            if action == "mod" and not marked:
+                raise QueryError(336, "Object Not Found")
+            return Answer(self.spark.createDataFrame([(action, sender, "\n".join(lines))], "action string, reg_email string, payload string"), self.code(0))
+        raise QueryError(338, "Invalid Directive Syntax")
 
     def _do_xfer(self, args: list[str]) -> Answer:
         area, classes, since = export.plan_export(args, self.catalog)

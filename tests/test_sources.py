@@ -91,4 +91,20 @@ def test_session(spark, sf):
     assert s.shown(answer.rows).where("line = ''").count() == answer.rows.count()
     s.extensions["date"] = lambda own, args: own.spark.createDataFrame([(" ".join(args),)], "line string")
     assert s.run("-X-date a b").rows.first().line == "a b" and code("-X-none") == 400
+    assert code("-register off") == 338 and code("-register on put a@b.org") == 338 and code("-register on add nobody") == 338
+    assert code("-register on add a@b.org") == 0 and code("Class-Name:host") == 0 and code("Host-Name:x") == 0
+    assert tuple(s.run("-register off").rows.first()) == ("add", "a@b.org", "Class-Name:host\nHost-Name:x") and s.pending is None
+    assert code("-register on mod a@b.org") == 0 and code("ID:1") == 0 and code("-register off") == 336
     assert ses.message(0) == "%ok" and ses.capabilities({"X": False}) == 0x3FFF
+
+
+def test_workers_find_the_package(spark):
+    from pathlib import Path
+
+    import dirloom
+    from dirloom.runtime import reachable
+
+    root = str(Path(dirloom.__file__).parent.parent)
+    for _ in range(2):
+        reachable(spark)
+    assert spark.sparkContext.environment["PYTHONPATH"].split(":").count(root) == 1
